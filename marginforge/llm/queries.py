@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, sharding
+from . import bpe, chat, mixing, sharding, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,23 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op7_source_mixing"] = mixing.ORACLE
+
+
+@query
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one made of control strings, formatted and read back."""
+    own = table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user', :said), (-7L, 1L, 'assistant', :said) AS t(conv_id, turn, role, text)", {"said": said})
+    return chat.read_back(chat.format_chats(own.unionByName(extra)))
+
+
+ORACLES["op9_chat_format"] = chat.ORACLE
+
+URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/")]
+
+
+@query
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by the rules, else by its host's standing in the link graph."""
+    return urls.judge(table(spark, sf_dir, "pages", ["page_id", "url", "html"]), URL_RULES)
