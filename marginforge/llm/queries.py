@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, sharding, urls
-from .common import table
+from . import bpe, chat, hnsw, mixing, quality, sharding, topk, toxicity, urls
+from .common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +65,42 @@ URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("bloc
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url judged by the rules, else by its host's standing in the link graph."""
     return urls.judge(table(spark, sf_dir, "pages", ["page_id", "url", "html"]), URL_RULES)
+
+
+def quality_model(spark: SparkSession, sf_dir: str):
+    """Weights from labels that are not held out (crc32 of the id, modulo 4, is 2)."""
+    return quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", crc_mod(F.col("doc_id"), 4) != 2)
+
+
+@query
+def op4_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score of every document."""
+    out = quality.score(table(spark, sf_dir, "documents", ["doc_id", "text"]), quality_model(spark, sf_dir))
+    return out.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str):
+    """Weights from labels that are not held out (crc32 of the id, modulo 3, is 1)."""
+    return toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", crc_mod(F.col("doc_id"), 3) != 1)
+
+
+@query
+def op6_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every document."""
+    out = toxicity.score(table(spark, sf_dir, "documents", ["doc_id", "text"]), toxicity_model(spark, sf_dir))
+    return out.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
+@query
+def op3_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest by cosine of every vector whose id is divisible by 50."""
+    return hnsw.nearest(table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]), every=50, k=5)
+
+
+@query
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest integer inner products of every vector whose id is divisible by 20."""
+    return topk.largest(table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]), every=20, k=20)
+
+
+ORACLES["op5_exact_topk"] = topk.ORACLE
