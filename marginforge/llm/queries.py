@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, hnsw, mixing, quality, sharding, topk, toxicity, urls
+from . import bpe, chat, hnsw, jaccard, mixing, quality, sharding, topk, toxicity, urls
 from .common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,9 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op5_exact_topk"] = topk.ORACLE
+
+
+@query
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingle sets are at least 90 % alike."""
+    return jaccard.join_documents(table(spark, sf_dir, "documents", ["doc_id", "text"]), words=3, percent=90)
