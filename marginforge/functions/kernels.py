@@ -31,8 +31,8 @@ def dense_kernel(name: str, tile) -> None:
 
 
 _c = F.col
-_zero = F.lit(0.0)
-_chi2 = lambda a, b: F.when(a + b == 0, _zero).otherwise(a * b / (a + b))
+
+_chi2 = lambda a, b: F.when(a + b == 0, F.lit(0.0)).otherwise(a * b / (a + b))
 _chi2_d = lambda t: _c("sa") + _c("sb") - 4 * t
 sparse_kernel("linear", lambda a, b: a * b, lambda t: t)
 sparse_kernel("intersection", lambda a, b: F.least(a, b), lambda t: t / 2)

@@ -293,13 +293,13 @@ def x2_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH r AS (SELECT l_orderkey * 8 + l_linenumber AS id, l_quantity / 50 AS a, l_extendedprice / 100000 AS b, l_discount AS c, l_tax AS d FROM lineitem)
-SELECT id, model_id, round(CASE model_id WHEN 'u' THEN 0.5 * a - 0.25 * b + 2 * c - d + 0.1 ELSE -a + b + c + d - 0.2 END, 6) + 0.0 AS decision FROM r, (VALUES ('u'), ('v')) t(model_id)""")
+SELECT id, model_id, round(CASE model_id WHEN 'u' THEN 0.5 * a - 0.25 * b + 2 * c - d + 0.1 ELSE -a + b + c + d - 0.2 END, 9) + 0.0 AS decision FROM r, (VALUES ('u'), ('v')) t(model_id)""")
 def x5_linear_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two linear models over all order lines."""
     li = _table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
     rows = li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.array(F.col("l_quantity") / 50, F.col("l_extendedprice") / 100000, "l_discount", "l_tax").alias("features"))
     models = spark.sql("SELECT * FROM VALUES ('u', array(0.5D, -0.25D, 2D, -1D), 0.1D), ('v', array(-1D, 1D, 1D, 1D), -0.2D) AS t(model_id, w, b)")
-    return scoring.linear_scores(rows, models).select("id", "model_id", _round("decision").alias("decision"))
+    return scoring.linear_scores(rows, models).select("id", "model_id", _round("decision", 9).alias("decision"))
 
 
 # -- metrics ------------------------------------------------------------------------------------------

@@ -1,6 +1,7 @@
 import os
 import sys
 
+import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
 
@@ -47,7 +48,13 @@ def same(spark, duck):
         a, b = df.toPandas(), duck.execute(sql).df()
         cols = sorted(a.columns)
         assert cols == sorted(b.columns)
-        text = lambda x: sorted(map(tuple, x[cols].astype(str).to_numpy().tolist()))
+
+        def plain(v):
+            if hasattr(v, "__len__") and not isinstance(v, str):
+                return str([plain(x) for x in v])
+            return "null" if v is None or v is pd.NA or v != v else str(float(v)) if isinstance(v, (int, float)) or hasattr(v, "dtype") else str(v)
+
+        text = lambda x: sorted(tuple(plain(v) for v in r) for r in x[cols].astype(object).to_numpy().tolist())
         assert text(a) == text(b)
 
     return check

@@ -178,7 +178,7 @@ def test_cascade_parameters():
 
 
 # -- linear -----------------------------------------------------------------------------------------
-TOY = [(0, [1.0, 1, 0, 0]), (1, [0.0, 0, 1, 0]), (1, [0.0, 0, 1, 0]), (0, [1.0, 1, 0, 1])]
+TOY = [(0, [1.0, 1.0, 0.0, 0.0]), (1, [0.0, 0.0, 1.0, 0.0]), (1, [0.0, 0.0, 1.0, 0.0]), (0, [2.0, 1.0, 0.0, 1.0])]
 
 
 @pytest.fixture(scope="module")
