@@ -16,7 +16,7 @@ from marginforge.llm import bpe, jaccard, mixing, quality, toxicity
 from marginforge.llm.common import shared_dir, table
 
 #: A document is rejected where a score says so at these levels.
-QUALITY_LEAST, TOXICITY_MOST = 0.5, 0.7
+QUALITY_LEAST, TOXICITY_MOST = 0.5, 0.6
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,8 +55,11 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Col
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "y", "h")
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, sample: int = 8192, bits: int = 18, epochs: int = 3) -> np.ndarray:
-    """Weights, the last one the bias. ``allowed`` says of a labels row whether it may be learned from."""
+def fit(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, sample: int = 8192, bits: int = 18, updates: int = 20_000) -> np.ndarray:
+    """Weights, the last one the bias. ``allowed`` says of a labels row whether it may be learned from.
+
+    The sample is gone through 3 to 20 times, for about ``updates`` updates.
+    """
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
         hasher, size = Hasher(bits), 1 << bits
@@ -66,7 +69,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, sample:
             idx, x = hasher(t)
             rows.append((np.append(idx, size).astype(np.int32), np.append(x, 0.3).astype(np.float32)))
         model, y = Ftrl(size + 1), pdf["y"].to_numpy()
-        for epoch in range(epochs):
+        for epoch in range(max(3, min(20, updates // max(len(rows), 1)))):
             for k in np.random.default_rng(epoch).permutation(len(rows)):
                 model.update(rows[k][0], rows[k][1].astype(np.float64), y[k])
         return pd.DataFrame({"w": [model.weights().astype(np.float32).tobytes()]})

@@ -31,7 +31,7 @@ def _csr(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows) if rows else np.zeros(0, np.int64), np.append(0, np.cumsum(n))
 
 
-def nnpu(pos: list[np.ndarray], unl: list[np.ndarray], size: int, prior: float, rounds: int = 400, kappa: float = 2.0, shrink: float = 0.25, overlap: float = 6.0, beta: float = 0.0) -> np.ndarray:
+def nnpu(pos: list[np.ndarray], unl: list[np.ndarray], size: int, prior: float, rounds: int = 400, kappa: float = 2.0, shrink: float = 0.1, overlap: float = 6.0, beta: float = 0.0) -> np.ndarray:
     """Weights of a linear classifier over binary features (rows: index arrays), the last one the bias.
 
     Proximal gradient steps on the risk plus a weighted L1 norm: a feature's
@@ -53,7 +53,8 @@ def nnpu(pos: list[np.ndarray], unl: list[np.ndarray], size: int, prior: float,
     lam, step = penalty[used] * shrink, 1.0 / (overlap * 0.25 * np.maximum(df_u[used], 1e-4))
     w, bias = np.zeros(len(used)), np.log(prior / (1 - prior))
     row_p, row_u = np.repeat(np.arange(len(pos)), n_p), np.repeat(np.arange(len(unl)), n_u)
-    for _ in range(rounds):
+    mean, mean_bias, taken = np.zeros(len(used)), 0.0, 0
+    for k in range(rounds):
         fp = np.bincount(row_p, w[pi], len(pos)) + bias
         fu = np.bincount(row_u, w[ui], len(unl)) + bias
         sp, su = 1 / (1 + np.exp(-np.clip(fp, -35, 35))), 1 / (1 + np.exp(-np.clip(fu, -35, 35)))
@@ -67,8 +68,10 @@ def nnpu(pos: list[np.ndarray], unl: list[np.ndarray], size: int, prior: float,
         w = np.sign(w) * np.maximum(np.abs(w) - step * lam, 0)
         w = np.clip(w, -20, 20)
         bias -= 2.0 * (gp.sum() + gu.sum())
+        if 2 * k >= rounds:  # steps back make the last point jumpy: the second half's mean is kept
+            mean, mean_bias, taken = mean + w, mean_bias + bias, taken + 1
     out = np.zeros(size + 1)
-    out[used], out[-1] = w, bias
+    out[used], out[-1] = mean / taken, mean_bias / taken
     return out
 
 
