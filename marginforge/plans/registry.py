@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..operators import cascade, features, kernel_join, linear, metrics, partition, scoring
+from ..operators import cascade, features, kernel_join, linear, machines, metrics, partition, scoring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -344,6 +344,27 @@ def c1_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([tuple(n[k] for k in ("pass", "layer", "node", "n_rows", "n_sv", "ld", "gap")) for n in model.nodes], "pass int, layer int, node int, n_rows long, n_sv long, ld double, gap double")
 
 
+@query()
+def t13_multi_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-vs-one machines of all labels, predictions on the training rows."""
+    d = _dense(spark, sf_dir)
+    return d.select("id", "label").join(machines.predict(d, machines.one_vs_one(d), d), "id")
+
+
+@query()
+def t10_one_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decision values of a one-class machine over the embeddings."""
+    d = _dense(spark, sf_dir)
+    return machines.decide(d, machines.one_class(d, 0.2), d).select("id", "decision")
+
+
+@query()
+def t11_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Support-vector regression of the label number on the embeddings."""
+    d = _dense(spark, sf_dir)
+    return machines.decide(d, machines.regression(d), d).select("id", F.col("decision").alias("prediction"))
+
+
 def _linear(solver: int):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         d = _dense(spark, sf_dir)

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from marginforge.functions import kernels, linear as L, smo
-from marginforge.operators import cascade, features, kernel_join, linear, metrics, partition, scoring
+from marginforge import cli
+from marginforge.operators import cascade, features, kernel_join, linear, machines, metrics, partition, scoring
 from marginforge.plans import registry
 from marginforge.sources import formats
 
@@ -364,3 +365,52 @@ def test_model_texts(spark, tmp_path, toy):
     assert parsed["sv"] == machine["sv"] and parsed["rho"] == [0.25] and parsed["gamma"] == 0.5
     model, sv = formats.machine_tables(spark, parsed, "m", "c", 0)
     assert model.head().prob_a == -2.0 and sorted(r.sv_id for r in sv.collect()) == [3, 9]
+
+
+# -- machines and command line ----------------------------------------------------------------------
+def test_one_vs_one_frames(spark):
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(c, 0.5, (30, 2)) for c in ([0, 0], [3, 0], [0, 3])])
+    labels = np.repeat([4, 1, 9], 30)
+    df = frame(spark, x, labels)
+    m = machines.one_vs_one(df, kernel=("rbf", 0.5))
+    assert [p[1:] for p in m.problems] == [(4, 1), (4, 9), (1, 9)]
+    got = {r.id: r.prediction for r in machines.predict(df, m, df).collect()}
+    K = kernels.standard("rbf", 0.5)(x, x)
+    want = smo.one_vs_one(K, labels, 1.0).predict(K)
+    assert np.mean([got[i] == v for i, v in enumerate(want)]) > 0.98
+    cv = machines.cross_validate(df, 3, kernel=("rbf", 0.5))
+    assert cv.count() == 90 and metrics.accuracy(cv).head()[0] > 0.9
+
+
+def test_one_class_regression_and_grid(spark):
+    x, y = gauss(40)
+    df = frame(spark, x, y.astype(int))
+    d = {r.id: r.decision for r in machines.decide(df, machines.one_class(df, 0.2, ("rbf", 0.2)), df).collect()}
+    assert abs(np.mean([v < -1e-3 for v in d.values()]) - 0.2) < 0.1
+    t = np.linspace(0, 6, 60)
+    reg = frame(spark, t[:, None], np.sin(t), "double")
+    got = {r.id: r.decision for r in machines.decide(reg, machines.regression(reg, 10.0, 0.05), reg).collect()}
+    assert max(abs(got[i] - v) for i, v in enumerate(np.sin(t))) < 0.07
+    grid = machines.grid_search(df, (0.5, 1.0), (1.0, 2.0)).collect()
+    assert len(grid) == 4 and all(0.7 < r.map <= 1 for r in grid)
+
+
+def test_gaussians(spark):
+    got = machines.gaussians(spark, 400).groupBy("label").agg(F.avg(F.col("features")[1]).alias("m"), F.count("*").alias("n")).collect()
+    assert {r.label: (round(r.m), r.n) for r in got} == {1: (3, 400), -1: (7, 400)}
+
+
+def test_command_line(spark, tmp_path):
+    data = put(tmp_path, "1 1:1 2:1\n-1 3:1\n-1 3:1\n1 1:2 2:1 4:1\n")
+    cli.linear_train(spark, ["-s", "0", "-c", "5", "-q", data, str(tmp_path / "m")])
+    cli.linear_predict(spark, ["-b", "1", data, str(tmp_path / "m"), str(tmp_path / "o")])
+    assert [r.value.split()[0] for r in spark.read.text(str(tmp_path / "o")).collect()] == ["1", "-1", "-1", "1"]
+    with pytest.raises(cli.ParameterFormatError):
+        cli.options(["-x", "1"], {"n": int})
+    assert cli.options(["-w1", "1.234", "-w2", "0.12", "f"], {"w": float}) == ({"w": {1: 1.234, 2: 0.12}}, ["f"])
+    x, y = gauss(20)
+    frame(spark, x, y.astype(int)).select("id", "features").write.parquet(str(tmp_path / "f"))
+    labels = put(tmp_path, "".join(f"{i} {int(v)}\n" for i, v in enumerate(y)), "l")
+    cli.cascade_train(spark, ["-n", "2", "-g", "1", "-i", "2", str(tmp_path / "f"), labels, str(tmp_path / "c")])
+    assert spark.read.parquet(str(tmp_path / "c/support")).count() > 2
