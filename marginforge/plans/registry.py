@@ -232,6 +232,34 @@ def u4_merge_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partition.merge_pairs(partition.random_subsets(ids, 8).withColumnRenamed("subset", "node"))
 
 
+@query("""WITH h AS (SELECT vec_id AS id, CASE WHEN label < 5 THEN 1 ELSE -1 END AS y, (vec_id + 0) * 2654435761 % 4294967296 AS h FROM embeddings),
+u AS (SELECT id, y, (row_number() OVER w - 1)::DOUBLE / count(*) OVER (PARTITION BY y) AS u FROM h WINDOW w AS (PARTITION BY y ORDER BY h, id))
+SELECT id, y, (CASE WHEN y > 0 AND u < 0.9 THEN least(floor(u / 0.9 * 3), 2) WHEN y > 0 THEN least(3 + floor((u - 0.9) / (1 - 0.9) * 3), 5)
+  WHEN u < 0.9 THEN 3 + least(floor(u / 0.9 * 3), 2) ELSE least(floor((u - 0.9) / (1 - 0.9) * 3), 2) END)::INTEGER AS subset FROM u""")
+def r3_unbalanced_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _table(spark, sf_dir, "embeddings", "vec_id", "label").select(F.col("vec_id").alias("id"), F.when(F.col("label") < 5, 1).otherwise(-1).alias("y"))
+    return partition.unbalanced_subsets(d, 6, "y").select("id", "y", "subset")
+
+
+@query("SELECT l_orderkey, l_linenumber, round(1 / (1 + exp(-40 * (l_discount - 0.05) + 0.5)), 9) AS p FROM lineitem")
+def f9_sigmoid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_discount")
+    return li.select("l_orderkey", "l_linenumber", F.round(kernels.sigmoid(F.col("l_discount") - 0.05, -40.0, 0.5), 9).alias("p"))
+
+
+@query("SELECT vec_id AS id, list_reverse(list_sort(list_transform(embedding, lambda x: x::DOUBLE))) AS sorted FROM embeddings")
+def o2_sorted_descending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dense(spark, sf_dir).select("id", F.sort_array("features", asc=False).alias("sorted"))
+
+
+@query("SELECT o_orderkey AS id, o_totalprice AS v FROM orders ORDER BY o_orderkey LIMIT 10")
+def l1_first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten rows in order of the key."""
+    from ..sources.tables import first_rows
+
+    return first_rows(_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("v")), "id")
+
+
 # -- scoring with machines given in closed form: support vectors are all rows, coefficients +-1 / n -------
 MODELS = """m AS (SELECT * FROM (VALUES ('c0.0', 'c0', 1.0, 0.0, -2.0, 0.1), ('c0.1', 'c0', 0.125, 0.05, -1.0, 0.0), ('c3.0', 'c3', 1.0, -0.02, -3.0, 0.2)) t(model_id, concept, gamma, rho, prob_a, prob_b)),
 c AS (SELECT m.model_id, e.id AS sv_id, (CASE WHEN e.label = substr(m.concept, 2)::INTEGER THEN 1.0 ELSE -1.0 END) / (SELECT count(*) FROM e) AS coef FROM m, e),

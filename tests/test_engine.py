@@ -9,7 +9,7 @@ from marginforge.functions import kernels, linear as L, smo
 from marginforge import cli
 from marginforge.operators import cascade, features, kernel_join, linear, machines, metrics, partition, scoring
 from marginforge.plans import registry
-from marginforge.sources import formats
+from marginforge.sources import formats, tables
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
@@ -414,3 +414,24 @@ def test_command_line(spark, tmp_path):
     labels = put(tmp_path, "".join(f"{i} {int(v)}\n" for i, v in enumerate(y)), "l")
     cli.cascade_train(spark, ["-n", "2", "-g", "1", "-i", "2", str(tmp_path / "f"), labels, str(tmp_path / "c")])
     assert spark.read.parquet(str(tmp_path / "c/support")).count() > 2
+
+
+def test_ensemble_tables(spark, tmp_path):
+    machine = {"gamma": 0.5, "nr_class": 2, "rho": [0.25], "label": [1, -1], "probA": [-2.0], "probB": [0.1], "nr_sv": [1, 1], "sv": [([0.5], {0: 3.0}), ([-0.5], {0: 9.0})]}
+    folder = tmp_path / "models"
+    folder.mkdir()
+    for name in ("cat.0", "cat.1", "dog.0"):
+        (folder / name).write_text("\n".join(formats.format_machine_model(machine)))
+    (folder / "cat.0.performance").write_text("x")
+    m, sv = tables.read_ensemble(spark, str(folder))
+    assert sorted((r.concept, r.layer, r.gamma) for r in m.collect()) == [("cat", 0, 0.5), ("cat", 1, 0.5), ("dog", 0, 0.5)] and sv.count() == 6
+    tables.write_machines(m, sv, str(tmp_path / "e"))
+    a, b = tables.read_machines(spark, str(tmp_path / "e"))
+    assert a.count() == 3 and b.count() == 6
+    p = spark.createDataFrame([(2, "a", 0.75), (1, "a", 0.25)], "id long, concept string, prob double")
+    tables.write_by_concept(scoring.unpivot(p), str(tmp_path / "u"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "u/concept=a")).collect()] == ["label 1 0", "0 0.25 0.75", "1 0.75 0.25"]
+    tables.write_predictions(scoring.wide(p, ["a"]), str(tmp_path / "w"))
+    tables.write_ids(p.select("id"), str(tmp_path / "i"), text=True)
+    assert [r.id for r in formats.read_ids(spark, str(tmp_path / "i")).collect()] == [1, 2]
+    assert [r.id for r in tables.first_rows(p, "id", 1, 1).collect()] == [2]
