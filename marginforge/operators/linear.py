@@ -58,60 +58,82 @@ class Model:
     bias: float = -1.0
 
 
-def _sums(df: DataFrame, w: np.ndarray, loss: str, p: float, hessian: bool) -> tuple[float, np.ndarray, np.ndarray]:
-    d = len(w)
-    shared = df.sparkSession.sparkContext.broadcast(w)
+@dataclass
+class Task:
+    """One weight row to fit: ``cls`` against the rest with costs ``own`` and ``other``, or a regression (cls None)."""
+
+    cls: int | None
+    own: float
+    other: float
+
+
+def _sums(df: DataFrame, tasks: list[Task], W: np.ndarray, loss: str, p: float) -> np.ndarray:
+    """(task, 1 + d + d^2): loss, gradient and Hessian of every task in one pass over (features, y)."""
+    k, d = W.shape
+    shared = df.sparkSession.sparkContext.broadcast(W)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(1 + d + (d * d if hessian else 0))
+        total = np.zeros((k, 1 + d + d * d))
         for pdf in batches:
             if not len(pdf):
                 continue
-            X, y, c = np.stack(pdf["features"]), pdf["y"].to_numpy(np.float64), pdf["c"].to_numpy(np.float64)
-            f, g, h = L.loss_parts(loss, X @ shared.value, y, p)
-            total[0] += (c * f).sum()
-            total[1 : 1 + d] += X.T @ (c * g)
-            if hessian:
-                total[1 + d :] += ((X * (c * h)[:, None]).T @ X).ravel()
-        yield pd.DataFrame({"part": [total]})
-
-    parts = df.select("features", "y", "c").mapInPandas(work, "part array<double>")
+            X, y = np.stack(pdf["features"]), pdf["y"].to_numpy(np.float64)
+            Z = X @ shared.value.T
+            for n, t in enumerate(tasks):
+                target = y if t.cls is None else np.where(y == t.cls, 1.0, -1.0)
+                c = np.where(target > 0, t.own, t.other) if t.cls is not None else np.full(len(y), t.own)
+                f, g, h = L.loss_parts(loss, Z[:, n], target, p)
+                total[n, 0] += (c * f).sum()
+                total[n, 1 : 1 + d] += X.T @ (c * g)
+                total[n, 1 + d :] += ((X * (c * h)[:, None]).T @ X).ravel()
+        yield pd.DataFrame({"part": [total.ravel()]})
+
+    parts = df.select("features", "y").mapInPandas(work, "part array<double>")
     got = parts.select(F.posexplode("part").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).collect()
-    out = np.zeros(1 + d + (d * d if hessian else 0))
+    out = np.zeros(k * (1 + d + d * d))
     for r in got:
         out[r.k] = r.v
-    return float(out[0]), out[1 : 1 + d], out[1 + d :].reshape(d, d) if hessian else np.zeros((0, 0))
+    return out.reshape(k, -1)
 
 
-def newton(df: DataFrame, dim: int, loss: str, penalty: str = "l2", p: float = 0.1, tol: float = 1e-8, rounds: int = 60) -> np.ndarray:
-    """Minimiser of penalty(w) + sum c * loss(w . x, y) over rows (features, y, c)."""
-    w = np.zeros(dim)
-    cost = lambda v, f: f + (v @ v / 2 if penalty == "l2" else np.abs(v).sum())
-    f, g, H = _sums(df, w, loss, p, True)
-    now, first = cost(w, f), None
+def newton(df: DataFrame, dim: int, loss: str, penalty: str, tasks: list[Task], p: float = 0.1, tol: float = 1e-8, rounds: int = 100) -> np.ndarray:
+    """Minimisers of penalty(w) + sum c * loss(w . x, y) for all tasks; one pass over (features, y) a round.
+
+    Every task takes Newton steps (for the L1 penalty, of its quadratic model) with
+    its own step length; those that are done leave the pass.
+    """
+    d, live = dim, list(range(len(tasks)))
+    W, move, step = np.zeros((len(tasks), d)), np.zeros((len(tasks), d)), np.zeros(len(tasks))
+    now, slope, first = np.full(len(tasks), np.inf), np.zeros(len(tasks)), np.zeros(len(tasks))
+    penalised = lambda v: v @ v / 2 if penalty == "l2" else np.abs(v).sum()
     for _ in range(rounds):
-        if penalty == "l2":
-            grad = g + w
-            move = -np.linalg.solve(H + np.eye(dim), grad)
-            slope, size = grad @ move, np.abs(grad).max()
-        else:
-            move = L.soft_newton(H + 1e-10 * np.eye(dim), g, w, 1.0) - w
-            slope = g @ move + np.abs(w + move).sum() - np.abs(w).sum()
-            size = np.abs(move).max()
-        first = first or size
-        if size <= tol * max(first, 1e-300) or slope > -1e-16 * max(abs(now), 1):
-            break
-        step = 1.0
-        while step > 1e-8:
-            f, g, H = _sums(df, w + step * move, loss, p, True)
-            if cost(w + step * move, f) <= now + 1e-4 * step * slope:
-                break
-            step /= 2
-        else:
+        trial = W[live] + step[live, None] * move[live]
+        sums, left = _sums(df, [tasks[n] for n in live], trial, loss, p), []
+        for n, w, row in zip(live, trial, sums, strict=True):
+            cost = row[0] + penalised(w)
+            if step[n] and cost > now[n] + 1e-4 * step[n] * slope[n]:
+                step[n] /= 2
+                if step[n] > 1e-8:
+                    left.append(n)
+                continue
+            W[n], now[n] = w, cost
+            g, H = row[1 : 1 + d], row[1 + d :].reshape(d, d)
+            if penalty == "l2":
+                grad = g + w
+                move[n] = -np.linalg.solve(H + np.eye(d), grad)
+                slope[n], size = grad @ move[n], np.abs(grad).max()
+            else:
+                move[n] = L.soft_newton(H + 1e-10 * np.eye(d), g, w, 1.0) - w
+                slope[n] = g @ move[n] + np.abs(w + move[n]).sum() - np.abs(w).sum()
+                size = np.abs(move[n]).max()
+            first[n] = first[n] or size
+            step[n] = 1.0
+            if size > tol * first[n] and slope[n] < -1e-15 * max(abs(now[n]), 1):
+                left.append(n)
+        live = left
+        if not live:
             break
-        w = w + step * move
-        now = cost(w, f)
-    return w
+    return W
 
 
 def _worker(df: DataFrame, key: Column, fit, dim: int) -> dict:
@@ -133,9 +155,12 @@ def train(df: DataFrame, parameter: Parameter, bias: float = -1.0, tol: float |
     C, p, eps = parameter.C, parameter.p, parameter.eps
     tol = tol or min(1e-8, eps)
     if "tube" in loss:
-        rows = df.select("id", "features", F.col("label").cast("double").alias("y"), F.lit(C).alias("c"))
+        rows = df.select("id", "features", F.col("label").cast("double").alias("y"))
         if not dual:
-            return Model(newton(rows, dim, loss, penalty, p, tol)[None], None, parameter.solver, bias)
+            rows = rows.persist()
+            w = newton(rows, dim, loss, penalty, [Task(None, C, C)], p, tol)
+            rows.unpersist()
+            return Model(w, None, parameter.solver, bias)
         fit = lambda pdf: L.tube_dual(np.stack(pdf["features"]), pdf["y"].to_numpy(), C, p, loss == "squared_tube", eps)[0]
         return Model(_worker(rows, F.lit(0), fit, dim)[0][None], None, parameter.solver, bias)
     order = df.groupBy("label").agg(F.min("id").alias("first")).orderBy("first", "label").collect()
@@ -151,17 +176,25 @@ def train(df: DataFrame, parameter: Parameter, bias: float = -1.0, tol: float |
 
         return Model(_worker(df, F.lit(0), joint, dim)[0].reshape(len(labels), -1), labels, parameter.solver, bias)
     tasks = [labels[0]] if len(labels) == 2 else labels
-    out = []
-    for n, cls in enumerate(tasks):
-        own = F.col("label") == F.lit(cls)
-        other = weight.get(labels[1], 1.0) if len(labels) == 2 else 1.0
-        rows = df.select("id", "features", F.when(own, 1.0).otherwise(-1.0).alias("y"), F.when(own, C * weight.get(cls, 1.0)).otherwise(C * other).alias("c"))
-        if dual:
-            fit = lambda pdf: L.hinge_dual(np.stack(pdf["features"]), pdf["y"].to_numpy(), pdf["c"].to_numpy(), loss == "squared_hinge", eps)[0]
-            out.append(_worker(rows, F.lit(n), fit, dim)[n])
-        else:
-            out.append(newton(rows, dim, loss, penalty, p, tol))
-    return Model(np.array(out), labels, parameter.solver, bias)
+    other = weight.get(labels[1], 1.0) if len(labels) == 2 else 1.0
+    if not dual:
+        place = F.array_position(F.array(*map(F.lit, labels)), F.col("label")) - 1
+        rows = df.select("features", place.cast("double").alias("y")).persist()
+        w = newton(rows, dim, loss, penalty, [Task(k, C * weight.get(cls, 1.0), C * other) for k, cls in enumerate(tasks)], p, tol)
+        rows.unpersist()
+        return Model(w, labels, parameter.solver, bias)
+    # Every class is a group of its own: one job for all.
+    names = df.sparkSession.createDataFrame([(k, cls) for k, cls in enumerate(tasks)], f"task int, cls {df.schema['label'].dataType.simpleString()}")
+    own = F.col("label") == F.col("cls")
+    rows = df.join(F.broadcast(names), F.lit(True)).select("id", "features", "task", F.when(own, 1.0).otherwise(-1.0).alias("y"), own.alias("own"))
+    cost = [C * weight.get(cls, 1.0) for cls in tasks]
+
+    def fit(pdf: pd.DataFrame) -> np.ndarray:
+        c = np.where(pdf["own"].to_numpy(), cost[int(pdf["task"].iloc[0])], C * other)
+        return L.hinge_dual(np.stack(pdf["features"]), pdf["y"].to_numpy(), c, loss == "squared_hinge", eps)[0]
+
+    got = _worker(rows, F.col("task"), fit, dim)
+    return Model(np.array([got[k] for k in range(len(tasks))]), labels, parameter.solver, bias)
 
 
 def predict(df: DataFrame, model: Model, probability: bool = False) -> DataFrame:

