@@ -18,6 +18,8 @@ run is paired with every other. Pairs are verified exactly on whole texts, links
 joined to components, and where a first member links with only some of its run,
 the others are paired with the rest of the run they might link with and verified
 too, so no link between different components is lost, without emitting all pairs.
+Before texts are read, sizes and parity sketches rule pairs out: two sketches differ
+in no more bits than the sets differ in shingles, so nothing that links is lost.
 
 Equal sets are one class before anything else; a class in a task gives its
 signatures once. Null and empty texts have empty sets and link with nothing; texts
@@ -43,7 +45,9 @@ _U = np.uint64
 _A, _B, _C = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 #: Ids broadcast at most (8 MB); beyond, the join is shuffled.
 BROADCAST_IDS = 1_000_000
-CACHE_WORDS = 500_000
+#: Rows of 120 bytes broadcast at most.
+BROADCAST_ROWS = 100_000
+CACHE_WORDS = 200_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -52,27 +56,36 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+class _Words(dict):
+    """word -> 64-bit hash, filled as words turn up."""
+
+    def __missing__(self, w: bytes) -> int:
+        h = self[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
+        return h
+
+
 class Shingler:
     """Text -> sorted distinct 64-bit shingle hashes."""
 
     def __init__(self, n: int):
-        self.n, self.cache = n, {}
+        self.n, self.cache = n, _Words()
+        # Powers of one odd number, a polynomial of the words; the sum is mixed once.
+        self.factors = [_U(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64)) for k in range(n)]
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").encode().lower().split()  # of bytes: A-Z and ASCII white space only
         if not words:
             return np.zeros(0, _U)
-        cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        for w in set(words).difference(cache):
-            cache[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-        h = np.fromiter(map(cache.__getitem__, words), _U, len(words))
+        if len(self.cache) > CACHE_WORDS:
+            self.cache.clear()
+        h = np.fromiter(map(self.cache.__getitem__, words), _U, len(words))
         k = min(self.n, len(h))
         out = np.full(len(h) - k + 1, _U(k))
         for j in range(k):
-            out = _mix(out * _A + h[j : len(h) - k + 1 + j])
-        return np.unique(out)
+            out += h[j : len(h) - k + 1 + j] * self.factors[j]
+        out = _mix(out)
+        out.sort()
+        return out[np.append(True, out[1:] != out[:-1])]
 
 
 class Bands:
@@ -139,20 +152,35 @@ class Bands:
         return (np.concatenate(sigs), np.concatenate(flags)) if sigs else (np.zeros(0, _U), np.zeros(0, np.uint8))
 
 
+#: 64-bit words of a set's parity sketch.
+SKETCH = 8
+_SK = [f"s{k}" for k in range(SKETCH)]
+
+
+def sketch(h: np.ndarray) -> np.ndarray:
+    """Parities of the shingles in each of SKETCH * 64 cells.
+
+    Two sets' sketches differ in at most as many bits as the sets in shingles.
+    """
+    odd = np.bincount((_mix(h) & _U(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, d1, d2): size and digest of every document's set."""
+    """(doc_id, n, d1, d2, s0..): size, digest and sketch of every document's set."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for b in batches:
-            n, d = np.zeros(b.num_rows, np.int64), np.zeros((b.num_rows, 2), np.int64)
+            n, d, sk = np.zeros(b.num_rows, np.int64), np.zeros((b.num_rows, 2), np.int64), np.zeros((SKETCH, b.num_rows), np.int64)
             for k, t in enumerate(b.column(1)):
                 h = shingler(t.as_py())
                 n[k] = len(h)
                 d[k] = np.frombuffer(hashlib.blake2b(h.tobytes(), digest_size=16).digest(), np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], ["doc_id", "n", "d1", "d2"])
+                sk[:, k] = sketch(h)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), *map(pa.array, sk)], ["doc_id", "n", "d1", "d2", *_SK])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n long, d1 long, d2 long")
+    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n long, d1 long, d2 long, " + ", ".join(f"{c} long" for c in _SK))
 
 
 def _signature_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -190,7 +218,12 @@ def _signature_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def candidates(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(h, x): the first member of every run of equal signatures with each other member."""
+    """(h, x, me, ma): the first member of every run of equal signatures with each other member.
+
+    ``ma`` has a bit for each run that x shares with h (of 64, by signature), ``me``
+    for those where x is there undeleted: two members of h's runs can only be
+    candidates if one's ``me`` meets the other's ``ma``.
+    """
     rows = _signature_rows(docs, words, percent)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(n, "sig").sortWithinPartitions("sig", "flag", "id")
@@ -215,13 +248,24 @@ def candidates(docs: DataFrame, words: int, percent: int) -> DataFrame:
             pairs_h = np.where(run >= 0, head[np.maximum(run, 0)] if len(starts) else 0, last[1] if last and last[1] is not None else 0)
             ok = np.where(run >= 0, live[np.maximum(run, 0)] if len(starts) else False, bool(last and last[1] is not None))
             ok &= pairs_h != ids
-            e = np.unique(np.column_stack([pairs_h[ok], ids[ok]]), axis=0) if ok.any() else np.zeros((0, 2), np.int64)
             if len(starts):
                 last = (sig[-1], head[-1] if live[-1] else None)
-            if len(e):
-                yield pa.RecordBatch.from_arrays([pa.array(e[:, 0].copy()), pa.array(e[:, 1].copy())], ["h", "x"])
+            if not ok.any():
+                continue
+            h, x, exact = pairs_h[ok], ids[ok], flag[ok] < 2
+            mark = np.left_shift(np.int64(1), sig[ok] & 63)
+            order = np.lexsort((x, h))
+            h, x, mark, exact = h[order], x[order], mark[order], exact[order]
+            first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (x[1:] != x[:-1])))
+            either = np.bitwise_or.reduceat(mark, first)
+            yield pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(x[first]), pa.array(np.bitwise_or.reduceat(np.where(exact, mark, 0), first)), pa.array(either)], ["h", "x", "me", "ma"])
+
+    return _marked(rows.mapInArrow(work, "h long, x long, me long, ma long"))
+
 
-    return rows.mapInArrow(work, "h long, x long").distinct()
+def _marked(pairs: DataFrame) -> DataFrame:
+    """Marks of equal pairs taken together."""
+    return pairs.groupBy("h", "x").agg(F.bit_or("me").alias("me"), F.bit_or("ma").alias("ma"))
 
 
 def verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -242,7 +286,8 @@ def verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataF
                 if at != (h, len(th)):
                     at, a = (h, len(th)), shingler(th)
                 x = shingler(tx.as_py())
-                common = len(a) + len(x) - len(np.union1d(a, x))
+                at_a = np.searchsorted(a, x)
+                common = int((a[np.minimum(at_a, len(a) - 1)] == x).sum()) if len(a) else 0
                 keep[k] = len(a) > 0 and 100 * common >= percent * (len(a) + len(x) - common)
             mask = pa.array(keep)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["h", "x"])
@@ -274,27 +319,42 @@ def components(links: DataFrame) -> DataFrame:
 def join_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
     of = written(sets(docs, words), "sets")
-    reps = of.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
+    some = of.where("n > 0 and doc_id is not null")
+    reps = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
+    # What is known of each class by its id; nothing if rows of one id differ.
+    one = F.count_distinct("d1", "d2") == 1
+    known = some.groupBy("doc_id").agg(*[F.when(one, F.max(c)).alias(c) for c in ("n", *_SK)])
     of = written(of.join(reps, ["d1", "d2"], "left").select("doc_id", "n", "rep"), "classes")
-    size = of.where("rep = doc_id").groupBy("rep").agg(F.max("n").alias("n"))
     rep_of = of.where("rep is not null").select("doc_id", "rep").distinct()
     raw = candidates(docs, words, percent)
     raw = raw.join(rep_of.select(F.col("doc_id").alias("h"), F.col("rep").alias("rh")), "h").join(rep_of.select(F.col("doc_id").alias("x"), F.col("rep").alias("rx")), "x")
-    sized = raw.where("rh <> rx").select(F.col("rh").alias("h"), F.col("rx").alias("x")).distinct()
-    sized = sized.join(size.select(F.col("rep").alias("h"), F.col("n").alias("nh")), "h").join(size.select(F.col("rep").alias("x"), F.col("n").alias("nx")), "x")
-    found = written(sized, "pairs")
-    fits = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
-    one_way = found.where(fits("nh", "nx")).select(F.least("h", "x").alias("h"), F.greatest("h", "x").alias("x")).distinct()
+    sized = _marked(raw.where("rh <> rx").select(F.col("rh").alias("h"), F.col("rx").alias("x"), "me", "ma"))
+    about = lambda k: known.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), *[F.col(c).alias(f"{k}{c}") for c in _SK])
+
+    def may_link(a: str, b: str):
+        """Sizes and sketches allow a link (or are not known)."""
+        na, nb = F.col(f"n{a}"), F.col(f"n{b}")
+        apart = sum((F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in _SK), F.lit(0))
+        return F.coalesce((100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (apart * (100 + percent) <= (na + nb) * (100 - percent)), F.lit(True))
+
+    sized = sized.join(about("h"), "h").join(about("x"), "x")
+    found = written(sized.select("h", "x", "me", "ma", may_link("h", "x").alias("ok"), "nx", *[f"x{c}" for c in _SK]), "pairs")
+    one_way = found.where("ok").select(F.least("h", "x").alias("h"), F.greatest("h", "x").alias("x")).distinct()
     links = written(verify(written(one_way, "one-way"), docs, words, percent).select(F.col("h").alias("a"), F.col("x").alias("b")), "links")
     comp = written(components(links), "components")
     # Members of a run whose head is in another component: with the run's others of other components, still unverified.
     label = lambda k: F.coalesce(F.col(k), F.col(k[1:]))
     named = lambda k: comp.select(F.col("id").alias(k), F.col("component").alias(f"c{k}"))
-    run = found.join(named("h"), "h", "left").join(named("x"), "x", "left").select("h", "x", "nx", label("ch").alias("ch"), label("cx").alias("cx"))
+    own = ["nx", *[f"x{c}" for c in _SK]]
+    run = found.join(named("h"), "h", "left").join(named("x"), "x", "left").select("h", "x", *own, "me", "ma", label("ch").alias("ch"), label("cx").alias("cx"))
     run = written(run, "runs")
-    rest = run.where("ch <> cx").select("h", "x", "nx", "cx")
-    other = run.select("h", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("cx").alias("cy"))
-    more = rest.join(other, "h").where((F.col("cx") != F.col("cy")) & fits("nx", "ny")).select(F.least("x", "y").alias("h"), F.greatest("x", "y").alias("x")).distinct()
+    rest = run.where("ch <> cx").select("h", "x", *own, "cx", "me", "ma")
+    other = run.select("h", F.col("x").alias("y"), *[F.col(c).alias(c.replace("x", "y", 1)) for c in own], F.col("cx").alias("cy"), F.col("me").alias("oe"), F.col("ma").alias("oa"))
+    meet = (F.col("me").bitwiseAND(F.col("oa")) != 0) | (F.col("ma").bitwiseAND(F.col("oe")) != 0)
+    # Few in number they meet the runs where those lie, evenly dealt; else both are dealt out by head.
+    if rest.count() <= BROADCAST_ROWS:
+        rest, other = F.broadcast(rest), other.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    more = rest.join(other, "h").where((F.col("cx") != F.col("cy")) & meet & may_link("x", "y")).select(F.least("x", "y").alias("h"), F.greatest("x", "y").alias("x")).distinct()
     more = written(more.join(one_way, ["h", "x"], "left_anti"), "more")
     if not more.isEmpty():
         late = verify(more, docs, words, percent).select(F.col("h").alias("a"), F.col("x").alias("b"))
