@@ -1,6 +1,6 @@
 """Kernel formulas: as SQL expressions over sufficient sums, and as numpy tiles.
 
-Values are exponents in the reference convention: minus half a squared distance for
+Values are exponents, halved and negated: minus half a squared distance for
 rbf and chi2, half the sum of minima for intersection, the dot product for linear.
 A kernel is built from sums over shared indexes only (see SPARSE), so the sparse
 join is an equi-join on the index with a hash aggregate.

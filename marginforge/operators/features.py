@@ -49,20 +49,31 @@ def occupancy(sparse: DataFrame) -> DataFrame:
     return sparse.groupBy("idx").agg(F.count("*").alias("nnz"))
 
 
-def numbered(df: DataFrame, order: str, out: str = "rn") -> DataFrame:
-    """Running number from 1 in order of the unique column ``order``.
+def numbered(df: DataFrame, order: str | list, out: str = "rn", by: str | list[str] | None = None, total: str | None = None, sums: dict[str, str] | None = None) -> DataFrame:
+    """Running number from 1 in order of the (together unique) columns ``order``, within each value of ``by``.
 
-    Rows are range-partitioned; each partition's first number comes from the
-    counts of those before it, so no task holds all rows.
+    ``total`` gets the rows counted, ``sums`` maps new names to columns that are
+    summed up to each row. Rows are range-partitioned and numbered inside their
+    partition; what a partition starts from comes from the counts and sums of those
+    before it, a few rows each, so no task holds all rows, nor all of one value.
     """
+    order = [order] if isinstance(order, (str, Column)) else list(order)
+    keys, sums = [by] if isinstance(by, str) else list(by or []), sums or {}
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part = df.repartitionByRange(n, order).withColumn("_p", F.spark_partition_id())
-    part = part.persist()
-    counts = part.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))
-    inside = Window.partitionBy("_p").orderBy(order)
-    return part.join(F.broadcast(starts), "_p").withColumn(out, F.row_number().over(inside) + F.col("_s")).drop("_p", "_s")
+    part = df.repartitionByRange(n, *keys, *order).withColumn("_p", F.spark_partition_id()).persist()
+    counts = part.groupBy("_p", *keys).agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_v_{k}") for k, c in sums.items()])
+    same = Window.partitionBy(*keys)
+    before = same.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    upto = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    starts = counts.select(F.col("_p").alias("_q"), *[F.col(k).alias(f"_k_{k}") for k in keys], upto("_n").alias("_s"), F.sum("_n").over(same).alias("_t"), *[upto(f"_v_{k}").alias(f"_u_{k}") for k in sums])
+    on = F.col("_p") == F.col("_q")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    inside = Window.partitionBy("_p", *keys).orderBy(*order)
+    running = inside.rowsBetween(Window.unboundedPreceding, 0)
+    rows = part.select("*", F.row_number().over(inside).alias("_r"), *[F.sum(c).over(running).alias(f"_w_{k}") for k, c in sums.items()]).join(starts, on)
+    added = [(F.col("_r") + F.col("_s")).alias(out), *[(F.col(f"_w_{k}") + F.col(f"_u_{k}")).alias(k) for k in sums]]
+    return rows.select(*df.columns, *added, *([F.col("_t").alias(total)] if total else []))
 
 
 def class_order(df: DataFrame, label: str, position: str) -> DataFrame:

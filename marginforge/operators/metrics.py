@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .features import numbered
+
 
 def dual_value(kernel: DataFrame, coef: DataFrame) -> DataFrame:
     """(ld): sum |coef| - 1/2 coef' K coef over a long kernel of training values (i, j, k)."""
@@ -22,9 +24,8 @@ def pass_value(nodes: DataFrame) -> DataFrame:
 
 def average_precision(scored: DataFrame, by: list[str], score: str = "prob", label: str = "label", id: str = "id") -> DataFrame:
     """(by..., ap): mean precision at the ranks of the positives, by falling score, ties by id."""
-    order = Window.partitionBy(*by).orderBy(F.col(score).desc(), id)
-    hit = (F.col(label) > 0).cast("int")
-    ranked = scored.select(*by, hit.alias("hit"), F.sum(hit).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("tp"), F.row_number().over(order).alias("rank"))
+    rows = scored.select(*by, id, score, (F.col(label) > 0).cast("int").alias("hit"))
+    ranked = numbered(rows, [F.col(score).desc(), F.col(id)], "rank", by=by, sums={"tp": "hit"})
     return ranked.groupBy(*by).agg((F.sum(F.when(F.col("hit") == 1, F.col("tp") / F.col("rank"))) / F.sum("hit")).alias("ap"))
 
 

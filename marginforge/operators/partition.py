@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .features import numbered
+
 #: Multiplier and modulus of the portable id hash, which other engines can repeat.
 MULTIPLIER, MODULUS = 2654435761, 4294967296
 
@@ -20,37 +22,32 @@ def random_subsets(ids: DataFrame, n: int, seed: int = 0) -> DataFrame:
 
 def equal_subsets(ids: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """Equal slices of a shuffled order, the remainder in the last."""
-    order = Window.orderBy(portable_hash(F.col("id"), seed), "id")
-    rn, total = F.row_number().over(order) - 1, F.count("*").over(Window.partitionBy())
-    return ids.withColumn("subset", F.least(F.floor(rn / F.greatest(F.floor(total / n), F.lit(1))), F.lit(n - 1)).cast("int"))
+    rows = numbered(ids.withColumn("_h", portable_hash(F.col("id"), seed)), ["_h", "id"], "_n", total="_all")
+    slice_rows = F.greatest(F.floor(F.col("_all") / n), F.lit(1))
+    return rows.withColumn("subset", F.least(F.floor((F.col("_n") - 1) / slice_rows), F.lit(n - 1)).cast("int")).drop("_h", "_n", "_all")
 
 
 def unbalanced_subsets(df: DataFrame, n: int, label: str, share: float = 0.9, seed: int = 0) -> DataFrame:
     """First half of the subsets mostly positive, the second mostly negative."""
-    order = Window.partitionBy(label).orderBy(portable_hash(F.col("id"), seed), "id")
-    total = F.count("*").over(Window.partitionBy(label))
-    u = (F.row_number().over(order) - 1) / total
+    rows = numbered(df.withColumn("_h", portable_hash(F.col("id"), seed)), ["_h", "id"], "_n", by=label, total="_all")
+    u = (F.col("_n") - 1) / F.col("_all")
     half = n // 2
     first = F.floor(u / share * half)
     second = F.lit(half) + F.floor((u - share) / (1 - share) * (n - half))
     pos = F.when(u < share, F.least(first, F.lit(half - 1))).otherwise(F.least(second, F.lit(n - 1)))
     neg = F.when(u < share, F.lit(half) + F.least(F.floor(u / share * (n - half)), F.lit(n - half - 1))).otherwise(F.least(F.floor((u - share) / (1 - share) * half), F.lit(half - 1)))
-    return df.withColumn("subset", F.when(F.col(label) > 0, pos).otherwise(neg).cast("int"))
+    return rows.withColumn("subset", F.when(F.col(label) > 0, pos).otherwise(neg).cast("int")).drop("_h", "_n", "_all")
 
 
 def chunks(df: DataFrame, order: str, rows: int) -> DataFrame:
     """chunk_id = floor((n - 1) / rows) by running number."""
-    from .features import numbered
-
     return numbered(df, order).withColumn("chunk_id", F.floor((F.col("rn") - 1) / rows).cast("int"))
 
 
 def folds(df: DataFrame, k: int, stratify: str | None = None, seed: int = 0) -> DataFrame:
     """fold 0..k-1 by integer division over a shuffled order, within each class if stratified."""
-    keys = [stratify] if stratify else []
-    order = Window.partitionBy(*keys).orderBy(portable_hash(F.col("id"), seed), "id")
-    total = F.count("*").over(Window.partitionBy(*keys))
-    return df.withColumn("fold", F.floor((F.row_number().over(order) - 1) * k / total).cast("int"))
+    rows = numbered(df.withColumn("_h", portable_hash(F.col("id"), seed)), ["_h", "id"], "_n", by=stratify, total="_all")
+    return rows.withColumn("fold", F.floor((F.col("_n") - 1) * k / F.col("_all")).cast("int")).drop("_h", "_n", "_all")
 
 
 def gaps(parts: DataFrame, key: str) -> DataFrame:
