@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 
 from . import vectors
 
-SHARD_ROWS = 4096
+SHARD_ROWS = 8192
 
 
 class Graph:
-    def __init__(self, x: np.ndarray, m: int = 12, ef: int = 60, seed: int = 1):
+    def __init__(self, x: np.ndarray, m: int = 16, ef: int = 100, seed: int = 1):
         """Graph over the rows of ``x`` (unit vectors)."""
         rng = np.random.default_rng(seed)
         n = len(x)
@@ -161,7 +161,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def nearest(df: DataFrame, every: int, k: int, ef: int = 96, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def nearest(df: DataFrame, every: int, k: int, ef: int = 160, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` largest cosines found for each row whose id is divisible by ``every``."""
     rows = vectors.usable(df).where(F.exists("v", lambda x: x != 0))
     rows = vectors.written(rows, "vectors")
