@@ -152,35 +152,65 @@ class Bands:
         return (np.concatenate(sigs), np.concatenate(flags)) if sigs else (np.zeros(0, _U), np.zeros(0, np.uint8))
 
 
-#: 64-bit words of a set's parity sketch.
-SKETCH = 8
+#: 64-bit words of the short parity sketch that pairs carry, and at most of the full one.
+SKETCH, FULL = 8, 1024
 _SK = [f"s{k}" for k in range(SKETCH)]
 
 
 def sketch(h: np.ndarray) -> np.ndarray:
-    """Parities of the shingles in each of SKETCH * 64 cells.
+    """Parities of the shingles in cells, about two to four cells a shingle (bounded).
 
-    Two sets' sketches differ in at most as many bits as the sets in shingles.
+    Two sets' sketches differ in at most as many bits as the sets in shingles; a
+    sketch folds to a shorter one by xor of its parts.
     """
-    odd = np.bincount((_mix(h) & _U(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    words = SKETCH
+    while words < FULL and words * 32 < len(h):
+        words *= 2
+    odd = np.bincount((_mix(h) & _U(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def fold(a: np.ndarray, words: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(a.reshape(-1, words), axis=0)
+
+
 def sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, d1, d2, s0..): size, digest and sketch of every document's set."""
+    """(doc_id, n, d1, d2, full, s0..): size, digest, full and short sketch of every document's set."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for b in batches:
-            n, d, sk = np.zeros(b.num_rows, np.int64), np.zeros((b.num_rows, 2), np.int64), np.zeros((SKETCH, b.num_rows), np.int64)
+            n, d, sk, full = np.zeros(b.num_rows, np.int64), np.zeros((b.num_rows, 2), np.int64), np.zeros((SKETCH, b.num_rows), np.int64), []
             for k, t in enumerate(b.column(1)):
                 h = shingler(t.as_py())
                 n[k] = len(h)
                 d[k] = np.frombuffer(hashlib.blake2b(h.tobytes(), digest_size=16).digest(), np.int64)
-                sk[:, k] = sketch(h)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), *map(pa.array, sk)], ["doc_id", "n", "d1", "d2", *_SK])
+                own = sketch(h)
+                sk[:, k] = fold(own, SKETCH)
+                full.append(own.tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.array(full, pa.binary()), *map(pa.array, sk)], ["doc_id", "n", "d1", "d2", "full", *_SK])
+
+    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n long, d1 long, d2 long, full binary, " + ", ".join(f"{c} long" for c in _SK))
+
+
+def likely(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """The (h, x) that sizes and full sketches do not rule out; known: (doc_id, n, full), nulls rule nothing out."""
+    side = lambda k: known.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("full").alias(f"f{k}"))
+    both = pairs.select("h", "x").join(side("x"), "x").join(side("h"), "h").select("h", "x", "nh", "nx", "fh", "fx")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = np.ones(b.num_rows, bool)
+            for k, (nh, nx, fh, fx) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), b.column(5), strict=True)):
+                if nh is not None and nx is not None:
+                    u, v = np.frombuffer(fh.as_buffer(), np.int64), np.frombuffer(fx.as_buffer(), np.int64)
+                    w = min(len(u), len(v))
+                    apart = int(np.bitwise_count((fold(u, w) ^ fold(v, w)).view(np.uint64)).sum())
+                    keep[k] = 100 * min(nh, nx) >= percent * max(nh, nx) and apart * (100 + percent) <= (nh + nx) * (100 - percent)
+            mask = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["h", "x"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n long, d1 long, d2 long, " + ", ".join(f"{c} long" for c in _SK))
+    return both.mapInArrow(work, "h long, x long")
 
 
 def _signature_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -320,10 +350,12 @@ def join_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     """(doc_id, n_shingles, component_id) of every document."""
     of = written(sets(docs, words), "sets")
     some = of.where("n > 0 and doc_id is not null")
-    reps = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
+    # Written first, so that the join below stands on bare exchanges and a hot class of copies can be split.
+    reps = written(some.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "reps")
     # What is known of each class by its id; nothing if rows of one id differ.
     one = F.count_distinct("d1", "d2") == 1
-    known = some.groupBy("doc_id").agg(*[F.when(one, F.max(c)).alias(c) for c in ("n", *_SK)])
+    known = some.groupBy("doc_id").agg(*[F.when(one, F.max(c)).alias(c) for c in ("n", "full", *_SK)])
+    known = written(known, "known")
     of = written(of.join(reps, ["d1", "d2"], "left").select("doc_id", "n", "rep"), "classes")
     rep_of = of.where("rep is not null").select("doc_id", "rep").distinct()
     raw = candidates(docs, words, percent)
@@ -340,7 +372,7 @@ def join_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     sized = sized.join(about("h"), "h").join(about("x"), "x")
     found = written(sized.select("h", "x", "me", "ma", may_link("h", "x").alias("ok"), "nx", *[f"x{c}" for c in _SK]), "pairs")
     one_way = found.where("ok").select(F.least("h", "x").alias("h"), F.greatest("h", "x").alias("x")).distinct()
-    links = written(verify(written(one_way, "one-way"), docs, words, percent).select(F.col("h").alias("a"), F.col("x").alias("b")), "links")
+    links = written(verify(written(likely(one_way, known, percent), "likely"), docs, words, percent).select(F.col("h").alias("a"), F.col("x").alias("b")), "links")
     comp = written(components(links), "components")
     # Members of a run whose head is in another component: with the run's others of other components, still unverified.
     label = lambda k: F.coalesce(F.col(k), F.col(k[1:]))
@@ -355,7 +387,7 @@ def join_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     if rest.count() <= BROADCAST_ROWS:
         rest, other = F.broadcast(rest), other.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     more = rest.join(other, "h").where((F.col("cx") != F.col("cy")) & meet & may_link("x", "y")).select(F.least("x", "y").alias("h"), F.greatest("x", "y").alias("x")).distinct()
-    more = written(more.join(one_way, ["h", "x"], "left_anti"), "more")
+    more = written(likely(more.join(one_way, ["h", "x"], "left_anti"), known, percent), "more")
     if not more.isEmpty():
         late = verify(more, docs, words, percent).select(F.col("h").alias("a"), F.col("x").alias("b"))
         comp = written(components(links.union(late)), "components")

@@ -314,6 +314,18 @@ def test_signatures_meet():
             assert ok
 
 
+def test_sketches_never_exceed_the_difference():
+    rng = np.random.default_rng(1)
+    for n in (1, 40, 700, 9000):
+        a = np.unique(rng.integers(1, 1 << 62, n).astype(np.uint64))
+        for drop, add in ((0, 0), (n // 10, n // 20), (n // 3, 4 * n)):
+            b = np.unique(np.concatenate([a[drop:], rng.integers(1, 1 << 62, add).astype(np.uint64)]))
+            u, v = jaccard.sketch(a), jaccard.sketch(b)
+            w = min(len(u), len(v))
+            apart = int(np.bitwise_count((jaccard.fold(u, w) ^ jaccard.fold(v, w)).view(np.uint64)).sum())
+            assert apart <= len(np.setxor1d(a, b)) and (apart == 0 or drop or add)
+
+
 # -- 9 ---------------------------------------------------------------------------------------------
 TALK = [
     (1, 1, "assistant", "Yes </s>[INST] \\[INST]"), (1, 0, "user", "plain"), (1, 2, "user", None), (2, 0, "system", "be <<SYS>> kind\\"), (2, 1, "tool [/ROLE]\n", "out\n\n</s>"),
