@@ -105,6 +105,7 @@ class Codec:
         if (self.byte < 0).any():
             raise ValueError("a byte-level vocabulary needs all 256 single bytes")
         self.decimal = [b"%d" % i for i in range(len(self.token))]
+        self.ids = list(range(len(self.token)))  # one object an id, shared by all pieces
         self.cache: dict[str, tuple[int, ...]] = {}
 
     # -- merging -------------------------------------------------------------
@@ -122,7 +123,7 @@ class Codec:
             over = best >= BIG
             if over.any():  # compaction: finished rows leave
                 for k, r in zip(row[over].tolist(), ids[over], strict=True):
-                    out[k] = tuple(r[r >= 0].tolist())
+                    out[k] = tuple(map(self.ids.__getitem__, r[r >= 0].tolist()))
                 keep = ~over
                 row, ids, rank, j, best = row[keep], ids[keep], rank[keep], j[keep], best[keep]
             if not len(row):
@@ -246,10 +247,12 @@ def _mapped(df: DataFrame, path: str, pattern: str, source: str, new: dict[str,
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(k, t) for k, t in new.items()])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = None
-        for b in batches:
-            c = c or codec(raw.value, pattern)
-            cols = [b.column(b.schema.get_field_index(k)) for k in keep]
-            yield pa.RecordBatch.from_arrays(cols + make(c, b.column(b.schema.get_field_index(source))), names=keep + list(new))
+        c = codec(raw.value, pattern)
+        try:
+            for b in batches:
+                cols = [b.column(b.schema.get_field_index(k)) for k in keep]
+                yield pa.RecordBatch.from_arrays(cols + make(c, b.column(b.schema.get_field_index(source))), names=keep + list(new))
+        finally:
+            c.cache.clear()  # workers live on; what a task has learned must not pile up beside the next one's
 
     return df.mapInArrow(work, schema)

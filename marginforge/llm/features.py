@@ -17,7 +17,7 @@ import numpy as np
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+")
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Tokens kept by a worker before it starts its cache anew.
-CACHE_TOKENS = 500_000
+CACHE_TOKENS = 200_000
 
 
 class Hasher:

@@ -69,6 +69,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, sample:
             idx, x = hasher(t)
             rows.append((np.append(idx, size).astype(np.int32), np.append(x, 0.3).astype(np.float32)))
         model, y = Ftrl(size + 1), pdf["y"].to_numpy()
+        del pdf, hasher  # the texts are not needed any more
         for epoch in range(max(3, min(20, updates // max(len(rows), 1)))):
             for k in np.random.default_rng(epoch).permutation(len(rows)):
                 model.update(rows[k][0], rows[k][1].astype(np.float64), y[k])
