@@ -45,8 +45,8 @@ _U = np.uint64
 _A, _B, _C = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 #: Ids broadcast at most (8 MB); beyond, the join is shuffled.
 BROADCAST_IDS = 1_000_000
-#: Rows of 120 bytes broadcast at most.
-BROADCAST_ROWS = 100_000
+#: Rows of 200 bytes broadcast at most.
+BROADCAST_ROWS = 60_000
 CACHE_WORDS = 200_000
 
 
@@ -153,7 +153,7 @@ class Bands:
 
 
 #: 64-bit words of the short parity sketch that pairs carry, and at most of the full one.
-SKETCH, FULL = 8, 1024
+SKETCH, FULL = 16, 1024
 _SK = [f"s{k}" for k in range(SKETCH)]
 
 
