@@ -19,7 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -27,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import col, mapped, released
+
 BIG = np.int64(1) << 40
 #: Pieces of more bytes go to the heap.
 MATRIX_BYTES = 256
 #: Pieces kept by a worker before it starts its cache anew.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 200_000
 #: Characters of text handled at a time.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 
 
 def load_ranks(path: str) -> bytes:
@@ -177,15 +179,14 @@ class Codec:
                 self.cache.update(zip((p for p, _ in part), self._matrix([r for _, r in part]), strict=True))
 
     # -- texts ---------------------------------------------------------------
-    def encode(self, texts: list[str | None]) -> Iterator[list[int]]:
+    def encode(self, texts: Iterable[str | None]) -> Iterator[list[int]]:
         """Ids of each text, a slice of texts at a time."""
-        k = 0
-        while k < len(texts):
+        texts, on = iter(texts), True
+        while on:
             chars, cut = 0, []
-            while k < len(texts) and (not cut or chars < SLICE_CHARS):
-                cut.append(self.find(texts[k] or ""))
-                chars += len(texts[k] or "")
-                k += 1
+            while chars < SLICE_CHARS and (on := (t := next(texts, self)) is not self):
+                cut.append(self.find(t or ""))
+                chars += len(t or "")
             if len(self.cache) > CACHE_PIECES:
                 self.cache.clear()
             if new := set(chain.from_iterable(cut)).difference(self.cache):
@@ -215,7 +216,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
     A column already named ``out`` is replaced. The vocabulary (its file is the
     size bound) is broadcast, so executors need not have the file.
     """
-    return _mapped(df, path, pattern, text, {out: T.ArrayType(T.IntegerType(), False)}, lambda c, v: _ids(c.encode(v.to_pylist())))
+    return _mapped(df, path, pattern, text, {out: T.ArrayType(T.IntegerType(), False)}, lambda c, v: _ids(c.encode(x.as_py() for x in v)))
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
@@ -228,7 +229,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> Da
 
     def digests(c: Codec, v: pa.Array) -> list[pa.Array]:
         n, a, b = [], [], []
-        for ids in c.encode(v.to_pylist()):
+        for ids in c.encode(x.as_py() for x in v):
             n.append(len(ids))
             a.append(hashlib.sha256(b",".join(map(c.decimal.__getitem__, ids))).hexdigest())
             b.append(hashlib.sha256(c.decode(ids)).hexdigest())
@@ -242,17 +243,16 @@ def _ids(rows: Iterator[list[int]]) -> list[pa.Array]:
 
 
 def _mapped(df: DataFrame, path: str, pattern: str, source: str, new: dict[str, T.DataType], make) -> DataFrame:
-    keep = [c for c in df.columns if c not in new]
-    raw = df.sparkSession.sparkContext.broadcast(load_ranks(path))
-    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(k, t) for k, t in new.items()])
+    df = df.select(*[col(c) for c in df.columns if c.lower() not in {k.lower() for k in new}])
+    raw, at = df.sparkSession.sparkContext.broadcast(load_ranks(path)), df.columns.index(source)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(raw.value, pattern)
         try:
             for b in batches:
-                cols = [b.column(b.schema.get_field_index(k)) for k in keep]
-                yield pa.RecordBatch.from_arrays(cols + make(c, b.column(b.schema.get_field_index(source))), names=keep + list(new))
+                yield pa.RecordBatch.from_arrays([*b.columns, *make(c, b.column(at))], names=[*b.schema.names, *[f"n{k}" for k in range(len(new))]])
         finally:
             c.cache.clear()  # workers live on; what a task has learned must not pile up beside the next one's
+            released()
 
-    return df.mapInArrow(work, schema)
+    return mapped(df, work, [T.StructField(k, t) for k, t in new.items()])

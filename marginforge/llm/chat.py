@@ -35,6 +35,8 @@ from pyspark.sql import DataFrame
 from .common import spread
 
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "[ROLE]", "[/ROLE]", "[/TURN]")
+#: Bytes scattered at once.
+SCATTER_BYTES = 1 << 20
 _ANY = "|".join(map(re.escape, CONTROLS))
 _ESCAPE = rf"(\\*(?:{_ANY}))"
 _UNESCAPE = re.compile(rf"\\(\\*(?:{_ANY}))")
@@ -82,7 +84,17 @@ def assemble(role: pa.Array, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np
         out[start[rows][:, None] + np.arange(len(h))] = h
         out[(end[rows] - len(f))[:, None] + np.arange(len(f))] = f
     body = start + n_head
-    out[np.arange(len(data)) + np.repeat(body - offsets[:-1], n_text)] = data
+    # Scatter indices take three numbers a byte, so texts are scattered a bounded number of bytes at a time; a long one is one slice.
+    cuts = np.append(np.flatnonzero(np.append(True, np.diff(offsets[:-1] // SCATTER_BYTES) > 0)), len(n_text)) if len(n_text) else np.zeros(1, np.int64)
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        while a < b:
+            m = a + 1 if n_text[a] > SCATTER_BYTES else a + int(np.argmax(np.append(n_text[a:b], SCATTER_BYTES + 1) > SCATTER_BYTES))
+            lo, hi = offsets[a], offsets[m]
+            if m == a + 1:
+                out[body[a] : body[a] + n_text[a]] = data[lo:hi]
+            else:
+                out[np.arange(lo, hi) + np.repeat(body[a:m] - offsets[a:m], n_text[a:m])] = data[lo:hi]
+            a = m
     is_loss = np.array([r == "assistant" for r in names.dictionary.to_pylist()], bool)[code] if len(code) else np.zeros(0, bool)
     return out, end, body, np.where(is_loss, body + n_text, body)
 

@@ -1,13 +1,14 @@
-"""Shared helpers: table reading, the shared scratch folder, written tables."""
+"""Shared helpers: table reading, column names, dealing rows out."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..sources.scratch import dropped, folder, released, written  # noqa: F401
 
 #: Words are maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,31 +20,29 @@ def table(spark: SparkSession, sf_dir: str, name: str, columns: Iterable[str] |
     return df.select(*columns) if columns else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
+def col(name: str) -> Column:
+    """A column by its whole name, dots and blanks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
-    Only where the session names none (local tests) is one made here.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            where = current.get()
-        else:
-            where = tempfile.mkdtemp(prefix="marginforge-")
-            spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each behind as many underscores as keep it apart from every column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared folder and read it back.
 
-    Cuts the lineage and survives lost executors. The folder lives as long as
-    the checkpoint directory, since later lazy reads depend on it.
-    """
-    path = f"{shared_dir(df.sparkSession)}/table-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def mapped(df: DataFrame, work, added: Iterable[T.StructField]) -> DataFrame:
+    """``mapInArrow`` whose batches keep all columns of ``df`` and append some; columns may have any names."""
+    added = list(added)
+    plain = [f"c{k}" for k in range(len(df.columns))]
+    fields = [T.StructField(n, f.dataType) for n, f in zip(plain, df.schema.fields, strict=True)]
+    out = df.toDF(*plain).mapInArrow(work, T.StructType(fields + [T.StructField(f"n{k}", f.dataType) for k, f in enumerate(added)]))
+    return out.toDF(*df.columns, *[f.name for f in added])
 
 
 def ascii_lower(c):

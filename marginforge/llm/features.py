@@ -23,11 +23,11 @@ CACHE_TOKENS = 200_000
 class Hasher:
     """Text -> (indices, values); one cache of token hashes a process."""
 
-    def __init__(self, bits: int, pairs: bool = True, prefix: int = 0, binary: bool = False):
-        self.bits, self.pairs, self.prefix, self.binary = bits, pairs, prefix, binary
+    def __init__(self, bits: int, pairs: bool = True, prefixes: tuple[int, ...] = (), binary: bool = False):
+        self.bits, self.pairs, self.prefixes, self.binary = bits, pairs, prefixes, binary
         self.shift = np.uint64(64 - bits)
         self.cache: dict[str, int] = {}
-        self.stems: dict[str, int] = {}
+        self.stems: dict[str, tuple[int, ...]] = {}
 
     def _hashes(self, tokens: list[str]) -> np.ndarray:
         cache = self.cache
@@ -40,6 +40,19 @@ class Hasher:
             cache[t] = (zlib.crc32(raw) << 31 | (zlib.crc32(raw, 0x5BD1E995) & 0x3FFFFFFF) << 1 | caps) & 0x7FFFFFFFFFFFFFFF
         return np.fromiter(map(cache.__getitem__, tokens), np.uint64, len(tokens))
 
+    def _stems(self, tokens: list[str]) -> np.ndarray:
+        """Hashes of the beginnings of the given lengths, of the longer ones among the distinct tokens."""
+        cache, out = self.stems, []
+        if len(cache) > CACHE_TOKENS:
+            cache.clear()
+        for t in set(tokens):
+            own = cache.get(t)
+            if own is None:
+                low = t.lower()
+                own = cache[t] = tuple(zlib.crc32(low[:n].encode()) for n in self.prefixes if len(low) > n)
+            out += own
+        return np.array(out, np.uint64)
+
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         tokens = _TOKEN.findall(text or "")
         if not tokens:
@@ -48,11 +61,10 @@ class Hasher:
         caps = int((h & np.uint64(1)).sum())
         h = h >> np.uint64(1)
         parts = [(h * _M1) >> self.shift]
-        if self.prefix:
-            stems = [t[: self.prefix].lower() for t in tokens if len(t) > self.prefix]
-            if stems:
-                own = np.fromiter((zlib.crc32(s.encode()) for s in stems), np.uint64, len(stems))
-                parts.append(((own + np.uint64(0x1234567)) * _M2) >> self.shift)
+        if self.prefixes:
+            stems = self._stems(tokens)
+            if len(stems):
+                parts.append(((stems + np.uint64(0x1234567)) * _M2) >> self.shift)
         marks = {1: caps}
         if self.pairs and len(h) > 1:
             parts.append(((h[:-1] * _M2 + h[1:] * np.uint64(0x165667B19E3779F9)) * _M1) >> self.shift)

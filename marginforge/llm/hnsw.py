@@ -6,9 +6,12 @@ a row of at most m (2 m in the lowest) neighbour numbers a node, padded with -1.
 Searches go down greedily and widen in the lowest layer; what a shard finds is
 scored again with the original vectors in double precision and merged.
 
-Null, zero and non-finite vectors take no part; equal vectors form one node, so
-copies never fill a list; ties go to the smaller id; empty tables give no rows.
-Measured recall at 5 is in the README; tests hold it to brute force.
+Null, zero and non-finite vectors take no part, nor do rows without id; very small
+and very large components are scaled by powers of two first. Rows that share an id
+are rows of their own: each is a query, and a candidate of the other. Equal vectors
+form one node, so copies never fill a list; ties go to the smaller id; other
+columns are ignored; empty tables give no rows. Measured recall at 5 is in the
+README; tests hold it to brute force.
 """
 
 from __future__ import annotations
@@ -131,19 +134,20 @@ class Graph:
             at = self._greedy(q, at, layer)
         return [v for _, v in self._widen(q, at, 0, max(ef, k))[:k]]
 
-    def dump(self, ids: np.ndarray, x: np.ndarray) -> bytes:
+    def dump(self, ids: np.ndarray, first: np.ndarray, x: np.ndarray) -> bytes:
         out = io.BytesIO()
         upper = [layer for layer in self.near[1:]]
         held = [np.flatnonzero((layer >= 0).any(axis=1)).astype(np.int32) for layer in upper]
-        np.savez(out, ids=ids, x=x, base=self.near[0], ends=np.array([self.entry, self.top]), **{f"n{k}": h for k, h in enumerate(held)}, **{f"l{k}": layer[h] for k, (layer, h) in enumerate(zip(upper, held, strict=True))})
+        np.savez(out, ids=ids, first=first, x=x, base=self.near[0], ends=np.array([self.entry, self.top]), **{f"n{k}": h for k, h in enumerate(held)}, **{f"l{k}": layer[h] for k, (layer, h) in enumerate(zip(upper, held, strict=True))})
         return out.getvalue()
 
     @classmethod
-    def load(cls, raw: bytes) -> tuple[Graph, np.ndarray, np.ndarray]:
+    def load(cls, raw: bytes) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
+        """(graph, class ids, first ids, scaled vectors)."""
         z = np.load(io.BytesIO(raw))
         g = cls.__new__(cls)
         x = z["x"]
-        g.x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+        g.x = unit(x).astype(np.float32)
         g.near = [z["base"]]
         k = 0
         while f"n{k}" in z:
@@ -153,36 +157,37 @@ class Graph:
             k += 1
         g.entry, g.top = map(int, z["ends"])
         g.seen, g.stamp = np.zeros(len(x), np.int32), 0
-        return g, z["ids"], x
+        return g, z["ids"], z["first"], x
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(axis=1, keepdims=True)  # components may be tiny or huge
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest component near 1: cosines stay as they are, squares in range."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def nearest(df: DataFrame, every: int, k: int, ef: int = 160, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` largest cosines found for each row whose id is divisible by ``every``."""
-    rows = vectors.usable(df).where(F.exists("v", lambda x: x != 0))
-    rows = vectors.written(rows, "vectors")
-    members, index = vectors.classes(rows, k + 1, shard_rows)
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = [(int(pdf["shard"].iloc[0]), Graph(_unit(x)).dump(ids, x)) for ids, x in vectors.matrices(pdf)]
-        return pd.DataFrame(out, columns=["shard", "index"])
-
-    graphs = index.groupBy("shard").applyInPandas(build, "shard int, index binary")
+    rows = vectors.written(vectors.usable(df).where(F.exists("v", lambda x: x != 0)), "vectors")
+    members, index, shards = vectors.classes(rows, k + 1, shard_rows)
+    graphs = vectors.build(index, shards, lambda ids, first, x: Graph(unit(x)).dump(ids, first, scaled(x)))
 
-    def search(raw: bytes, ids: np.ndarray, q: np.ndarray) -> pd.DataFrame:
-        g, reps, x = Graph.load(raw)
+    def search(raw: bytes, queries: dict[int, tuple]) -> pd.DataFrame:
+        g, reps, first, x = Graph.load(raw)
         out = []
-        if x.shape[1] == q.shape[1]:
-            for i, v, u in zip(ids.tolist(), q, _unit(q).astype(np.float32), strict=True):
+        if x.shape[1] in queries:
+            numbers, ids, q = queries[x.shape[1]]
+            lengths = np.sqrt((x * x).sum(axis=1))
+            for n, i, v, u in zip(numbers.tolist(), ids.tolist(), scaled(q) if len(q) else q, unit(q).astype(np.float32) if len(q) else q, strict=True):
                 at = g.search(u, k + 1, ef)
-                own = x[at]
-                cos = (own * v).sum(axis=1) / (np.sqrt((own * own).sum(axis=1)) * np.sqrt((v * v).sum()))
-                out += [(i, int(reps[j]), float(c)) for j, c in zip(at, cos, strict=True)]
-        return pd.DataFrame(out, columns=["query_id", "rep", "score"])
+                cos = (x[at] * v).sum(axis=1) / (lengths[at] * np.sqrt((v * v).sum()))
+                out += [(n, i, int(reps[j]), int(first[j]), float(c)) for j, c in zip(at, cos, strict=True)]
+        return pd.DataFrame(out, columns=["query", "query_id", "rep", "first", "score"])
 
-    found = vectors.search_shards(graphs, vectors.query_blocks(rows, every), search, "query_id long, rep long, score double")
-    return vectors.merge_classes(found, members, k)
+    found = vectors.search_shards(graphs, shards, rows, every, search, "query long, query_id long, rep long, first long, score double")
+    vectors.dropped(rows)
+    return vectors.merge_classes(found, members, k, ["score"])

@@ -15,9 +15,13 @@ with one-deletion probes. Deletions never match deletions.
 
 Signatures are shuffled once and stream through sorted runs: the first member of a
 run is paired with every other. Pairs are verified exactly on whole texts, links
-joined to components, and where a first member links with only some of its run,
-the others are paired with the rest of the run they might link with and verified
-too, so no link between different components is lost, without emitting all pairs.
+joined to components. Where a first member links with only some of its run, the
+others might link with the rest of the run. If they are few (at most FEW), they are
+paired with the run; if they are many (a large group of texts all just under the
+similarity), no pairs are made: packed into blocks with long sketches they meet the
+run's blocks, and only pairs that the sketches cannot tell from linked ones come out
+and are verified. So no link between different components is lost, and rows grow
+with the runs, not with their squares.
 Before texts are read, sizes and parity sketches rule pairs out: two sketches differ
 in no more bits than the sets differ in shingles, so nothing that links is lost.
 
@@ -39,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import col, dropped, released, written
 
 _U = np.uint64
 _A, _B, _C = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -47,6 +51,10 @@ _A, _B, _C = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111
 BROADCAST_IDS = 1_000_000
 #: Rows of 200 bytes broadcast at most.
 BROADCAST_ROWS = 60_000
+#: Members of a run apart from its head that are paired with the whole run.
+FEW = 32
+#: Bytes of sketches in a block.
+BLOCK_BYTES = 8 << 20
 CACHE_WORDS = 200_000
 
 
@@ -157,14 +165,14 @@ SKETCH, FULL = 16, 1024
 _SK = [f"s{k}" for k in range(SKETCH)]
 
 
-def sketch(h: np.ndarray) -> np.ndarray:
-    """Parities of the shingles in cells, about two to four cells a shingle (bounded).
+def sketch(h: np.ndarray, shingles: int = 32, most: int = FULL) -> np.ndarray:
+    """Parities of the shingles in cells, 64 for at most ``shingles`` of them (``most`` words are the bound).
 
     Two sets' sketches differ in at most as many bits as the sets in shingles; a
     sketch folds to a shorter one by xor of its parts.
     """
     words = SKETCH
-    while words < FULL and words * 32 < len(h):
+    while words < most and words * shingles < len(h):
         words *= 2
     odd = np.bincount((_mix(h) & _U(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
@@ -189,6 +197,7 @@ def sets(docs: DataFrame, words: int) -> DataFrame:
                 sk[:, k] = fold(own, SKETCH)
                 full.append(own.tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.array(full, pa.binary()), *map(pa.array, sk)], ["doc_id", "n", "d1", "d2", "full", *_SK])
+        released()
 
     return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n long, d1 long, d2 long, full binary, " + ", ".join(f"{c} long" for c in _SK))
 
@@ -243,6 +252,9 @@ def _signature_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     parts, rows = [], 0
             if parts:
                 yield batch(parts)
+        seen.clear()
+        shingler.cache.clear()
+        released()
 
     return docs.select("doc_id", "text").mapInArrow(work, "sig long, flag byte, id long")
 
@@ -293,6 +305,84 @@ def candidates(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return _marked(rows.mapInArrow(work, "h long, x long, me long, ma long"))
 
 
+def _tile(h: int, left: dict, right: dict, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a left and a right row, of different components, that sizes and sketches do not rule out.
+
+    Rows that share a smaller one of these heads meet there, not here.
+    """
+    heads = {k: n for n, k in enumerate(sorted({k for hs in (*left["hs"], *right["hs"]) for k in hs if k < h}))}
+
+    def incidence(rows: list) -> np.ndarray:
+        out = np.zeros((len(rows), len(heads)), np.float32)
+        for k, hs in enumerate(rows):
+            out[k, [heads[v] for v in hs if v < h]] = 1
+        return out
+
+    a, b, out = incidence(left["hs"]), incidence(right["hs"]), ([], [])
+    bits = [np.frombuffer(x, np.int64) for x in right["bits"]]
+    length = np.array([len(x) for x in bits])
+    groups = {w: (np.flatnonzero(length == w), np.stack([bits[k] for k in np.flatnonzero(length == w)])) for w in np.unique(length).tolist()}
+    folded: dict[tuple[int, int], np.ndarray] = {}
+    for k, (x, c, n, raw) in enumerate(zip(left["x"], left["c"], left["n"], left["bits"], strict=True)):
+        able = (right["c"] != c) & (b @ a[k] == 0) & (~right["away"] | (right["x"] > x))
+        able &= 100 * np.minimum(right["n"], n) >= percent * np.maximum(right["n"], n)
+        own = np.frombuffer(raw, np.int64)
+        for w, (rows, _) in groups.items():
+            at = np.flatnonzero(able[rows])
+            for v in (min(SKETCH * 8, len(own), w), min(len(own), w)):  # a short look first
+                if not len(at):
+                    break
+                if (w, v) not in folded:
+                    folded[w, v] = np.bitwise_xor.reduce(groups[w][1].reshape(len(rows), -1, v), axis=1)
+                apart = np.bitwise_count((folded[w, v][at] ^ fold(own, v)).view(np.uint64)).sum(axis=1, dtype=np.int64)
+                at = at[apart * (100 + percent) <= (right["n"][rows[at]] + n) * (100 - percent)]
+            out[0].append(np.full(len(at), x))
+            out[1].append(right["x"][rows[at]])
+    x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in out)
+    return np.minimum(x, y), np.maximum(x, y)
+
+
+def crowded(run: DataFrame, heads: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(h, x): pairs within the runs of these heads that may link, from (h, x, ch, cx), by blocks of sketches.
+
+    Every two members of different components of a run meet in one pair of blocks;
+    what leaves a task is what long sketches (at least 16 cells a shingle) do not tell apart.
+    """
+    rows = written(run.join(heads.select("h"), "h").select("h", "x", F.col("cx").alias("c"), (F.col("cx") != F.col("ch")).alias("away")), "crowd")
+    lists = rows.groupBy("x").agg(F.collect_set("h").alias("hs"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
+        for b in batches:
+            got = [shingler(t.as_py()) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(h) for h in got], pa.int64()), pa.array([sketch(h, 4, 8 * FULL).tobytes() for h in got], pa.binary())], ["x", "n", "bits"])
+        released()
+
+    bits = docs.select(F.col("doc_id").alias("x"), "text").where("text is not null").join(lists.select("x"), "x", "left_semi").mapInArrow(work, "x long, n long, bits binary").distinct()
+    full = written(rows.join(lists, "x").join(bits.where("n > 0"), "x"), "crowd")
+    blocks = full.groupBy("h").agg(F.ceil(F.sum(F.length("bits") + 64) / BLOCK_BYTES).alias("k"))
+    placed = full.join(blocks, "h").withColumn("block", F.pmod(F.xxhash64("x"), "k"))
+    cells = ["x", "c", "away", "n", "hs", "bits"]
+    packed = lambda df, side: df.groupBy("h", F.col("block").alias(f"b{side}")).agg(F.collect_list(F.struct(*cells)).alias(side))
+    pairs = packed(placed.where("away"), "l").join(packed(placed, "r"), "h")
+    pairs = pairs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h", "bl", "br").select("h", "l", "r")
+
+    def columns(cell) -> dict:
+        got = {c: [r[c] for r in cell] for c in cells}
+        return got | {"x": np.array(got["x"], np.int64), "c": np.array(got["c"], np.int64), "n": np.array(got["n"], np.int64), "away": np.array(got["away"], bool)}
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                h, x = _tile(b.column(0)[k].as_py(), columns(b.column(1)[k].as_py()), columns(b.column(2)[k].as_py()), percent)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(x)], ["h", "x"])
+        released()
+
+    out = written(pairs.mapInArrow(meet, "h long, x long").distinct(), "crowd")
+    dropped(rows, full)
+    return out
+
+
 def _marked(pairs: DataFrame) -> DataFrame:
     """Marks of equal pairs taken together."""
     return pairs.groupBy("h", "x").agg(F.bit_or("me").alias("me"), F.bit_or("ma").alias("ma"))
@@ -321,6 +411,8 @@ def verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataF
                 keep[k] = len(a) > 0 and 100 * common >= percent * (len(a) + len(x) - common)
             mask = pa.array(keep)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["h", "x"])
+        shingler.cache.clear()
+        released()
 
     return both.mapInArrow(work, "h long, x long").distinct()
 
@@ -330,6 +422,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     before = None
     while True:
+        old = edges
         # Large star: larger neighbours of u go to the smallest of u and its neighbours.
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -339,6 +432,7 @@ def components(links: DataFrame) -> DataFrame:
         joined = edges.join(least, "u")
         edges = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = written(edges, "edges")
+        dropped(old)
         now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).head()
         if now == before:
             break
@@ -348,15 +442,16 @@ def components(links: DataFrame) -> DataFrame:
 
 def join_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
-    of = written(sets(docs, words), "sets")
-    some = of.where("n > 0 and doc_id is not null")
+    whole = written(sets(docs, words), "sets")
+    some = whole.where("n > 0 and doc_id is not null")
     # Written first, so that the join below stands on bare exchanges and a hot class of copies can be split.
     reps = written(some.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "reps")
     # What is known of each class by its id; nothing if rows of one id differ.
     one = F.count_distinct("d1", "d2") == 1
     known = some.groupBy("doc_id").agg(*[F.when(one, F.max(c)).alias(c) for c in ("n", "full", *_SK)])
     known = written(known, "known")
-    of = written(of.join(reps, ["d1", "d2"], "left").select("doc_id", "n", "rep"), "classes")
+    of = written(whole.join(reps, ["d1", "d2"], "left").select("doc_id", "n", "rep"), "classes")
+    dropped(whole, reps)
     rep_of = of.where("rep is not null").select("doc_id", "rep").distinct()
     raw = candidates(docs, words, percent)
     raw = raw.join(rep_of.select(F.col("doc_id").alias("h"), F.col("rep").alias("rh")), "h").join(rep_of.select(F.col("doc_id").alias("x"), F.col("rep").alias("rx")), "x")
@@ -380,14 +475,20 @@ def join_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     own = ["nx", *[f"x{c}" for c in _SK]]
     run = found.join(named("h"), "h", "left").join(named("x"), "x", "left").select("h", "x", *own, "me", "ma", label("ch").alias("ch"), label("cx").alias("cx"))
     run = written(run, "runs")
-    rest = run.where("ch <> cx").select("h", "x", *own, "cx", "me", "ma")
+    apart = written(run.groupBy("h").agg(F.count_if(F.col("ch") != F.col("cx")).alias("n")).where("n > 0"), "apart")
+    rest = run.join(apart.where(F.col("n") <= FEW), "h", "left_semi").where("ch <> cx").select("h", "x", *own, "cx", "me", "ma")
     other = run.select("h", F.col("x").alias("y"), *[F.col(c).alias(c.replace("x", "y", 1)) for c in own], F.col("cx").alias("cy"), F.col("me").alias("oe"), F.col("ma").alias("oa"))
     meet = (F.col("me").bitwiseAND(F.col("oa")) != 0) | (F.col("ma").bitwiseAND(F.col("oe")) != 0)
     # Few in number they meet the runs where those lie, evenly dealt; else both are dealt out by head.
     if rest.count() <= BROADCAST_ROWS:
         rest, other = F.broadcast(rest), other.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     more = rest.join(other, "h").where((F.col("cx") != F.col("cy")) & meet & may_link("x", "y")).select(F.least("x", "y").alias("h"), F.greatest("x", "y").alias("x")).distinct()
-    more = written(likely(more.join(one_way, ["h", "x"], "left_anti"), known, percent), "more")
+    more = likely(more.join(one_way, ["h", "x"], "left_anti"), known, percent)
+    crowds = apart.where(F.col("n") > FEW)
+    if not crowds.isEmpty():
+        more = more.unionByName(crowded(run, crowds, docs, words, percent).join(one_way, ["h", "x"], "left_anti")).distinct()
+    more = written(more, "more")
+    dropped(found, run, apart)
     if not more.isEmpty():
         late = verify(more, docs, words, percent).select(F.col("h").alias("a"), F.col("x").alias("b"))
         comp = written(components(links.union(late)), "components")
@@ -401,7 +502,7 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     keep = written(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "keep")
     ids = keep.select("doc_id")
     ids = F.broadcast(ids) if keep.count() <= BROADCAST_IDS else ids
-    kept = docs.where("doc_id is not null").join(ids, "doc_id", "left_semi").select(*docs.columns)
+    kept = docs.where("doc_id is not null").join(ids, "doc_id", "left_semi").select(*map(col, docs.columns))
     if not keep.where("n > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null"))

@@ -9,8 +9,9 @@ floor(rate) plus one if a hash of seed and id falls below the fraction.
 
 Nulls: a null text has no words; the null source is a source of its own, last;
 a null id draws as empty text. Repeated ids draw alike. Sources without words
-get target 0 and rate 0. Empty tables give no rows. A column of ``df`` that
-clashes with an appended one is replaced.
+get target 0 and rate 0. Empty tables give no rows. Columns of ``df`` are never
+changed: what `plan_copies` appends has the names given by ``names``, and a clash
+is an error; `emit` works under names that ``df`` does not have.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, col, fresh
 
 ADDED = ("size", "source_size", "target", "copies", "taken")
 
@@ -54,24 +55,31 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
     return per.select("source", "source_size", F.when(F.col("capped"), F.col("c").cast("double")).otherwise(share).alias("target"))
 
 
-def plan_copies(df: DataFrame, seed: str = "mix-1", weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
-    """Append size, source_size, target, copies and taken to every document."""
-    df = df.drop(*ADDED)
-    sized = df.select("*", count_words(F.col("text")).alias("size"))
-    t = source_targets(sized.select("source", "size"), weights, cap).withColumnRenamed("source", "_of")
+def plan_copies(df: DataFrame, seed: str = "mix-1", weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, names: tuple[str, ...] = ADDED) -> DataFrame:
+    """Append size, source_size, target, copies and taken (called ``names``) to every document."""
+    if {c.lower() for c in df.columns} & {n.lower() for n in names}:
+        raise ValueError("an appended column has the name of one that is there; give other names")
+    size, source_size, target, copies, taken = names
+    of, own_size, own_target = fresh(df, "_of", "_source_size", "_target")
+    sized = df.select("*", count_words(F.col("text")).alias(size))
+    t = source_targets(sized.select("source", col(size).alias("size")), weights, cap)
+    t = t.select(F.col("source").alias(of), F.col("source_size").alias(own_size), F.col("target").alias(own_target))
     # One row a source: Spark broadcasts it below its threshold, else it deals both sides out and splits hot ones.
-    joined = sized.join(t, F.col("source").eqNullSafe(F.col("_of")), "left").drop("_of")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    joined = sized.join(t, F.col("source").eqNullSafe(F.col(of)), "left")
+    rate = F.when(F.col(own_size) > 0, F.col(own_target) / F.col(own_size)).otherwise(F.lit(0.0))
     key = F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     draw = F.conv(F.substring(F.md5(key.cast("binary")), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
-    copies = F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)
-    return joined.select("*", copies.cast("long").alias("copies")).select("*", (F.col("copies") * F.col("size")).alias("taken"))
+    n = (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("long")
+    planned = joined.select(*map(col, df.columns), size, F.col(own_size).alias(source_size), F.col(own_target).alias(target), n.alias(copies))
+    return planned.select("*", (col(copies) * col(size)).alias(taken))
 
 
 def emit(df: DataFrame, **how) -> DataFrame:
     """The mix itself: every document of ``df`` as often as planned, same columns."""
-    planned = plan_copies(df, **how)
-    return planned.where("copies > 0").select(*df.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")
+    names = fresh(df, *ADDED, "_copy")
+    planned = plan_copies(df, names=tuple(names[:-1]), **how)
+    copies = col(names[ADDED.index("copies")])
+    return planned.where(copies > 0).select(*map(col, df.columns), F.explode(F.sequence(F.lit(1), copies.cast("int"))).alias(names[-1])).drop(names[-1])
 
 
 ORACLE = r"""

@@ -5,12 +5,15 @@ not looked at (U). With class prior pi and logistic loss l the risk is
     pi E_P[l(+)] + max(-beta, E_U[l(-)] - pi E_P[l(-)]):
 the negatives' risk is what U shows less the share of its positives, and a step
 is taken against it when that estimate falls below zero. The classifier is linear
-over hashed words and word stems that occur at all, found by numpy steps. The
+over hashed words and beginnings of words that occur at all, found by numpy steps. The
 prior is the share of toxic rows among the labelled ones that may be learned from.
 
-Both samples are bounded (``positives``, ``unlabelled``: smallest id hashes) and
-read by one task. Null and empty texts get the bias; very long texts are scored
-whole; repeated rows score alike; without positives every score is the prior.
+Both samples are bounded (``positives``, ``unlabelled``: ids of smallest hash, one
+row an id, the smallest text of rows that share one). Features are taken where the
+texts lie; one task receives those rows. Null and empty texts get the bias; very
+long texts are scored whole; repeated rows score alike; without positives every
+score is the prior. Other columns pass through unchanged; the two that are appended
+may be named.
 """
 
 from __future__ import annotations
@@ -20,10 +23,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .features import Hasher
-from .quality import linear_scores
+from .common import released
+from .quality import hashed, linear_scores, one_text
 
-HASHER = {"bits": 18, "pairs": False, "prefix": 5, "binary": True}
+HASHER = {"bits": 18, "pairs": False, "prefixes": (4, 5, 6, 7, 8), "binary": True}
 
 
 def _csr(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -31,7 +34,7 @@ def _csr(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows) if rows else np.zeros(0, np.int64), np.append(0, np.cumsum(n))
 
 
-def nnpu(pos: list[np.ndarray], unl: list[np.ndarray], size: int, prior: float, rounds: int = 400, kappa: float = 2.0, shrink: float = 0.1, overlap: float = 6.0, beta: float = 0.0) -> np.ndarray:
+def nnpu(pos: list[np.ndarray], unl: list[np.ndarray], size: int, prior: float, rounds: int = 400, kappa: float = 1.0, shrink: float = 0.1, overlap: float = 6.0, beta: float = 0.0) -> np.ndarray:
     """Weights of a linear classifier over binary features (rows: index arrays), the last one the bias.
 
     Proximal gradient steps on the risk plus a weighted L1 norm: a feature's
@@ -85,21 +88,24 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, positiv
         return np.append(np.zeros(size), np.log(prior / (1 - prior)))
     ranked = lambda df, n: df.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(n)
     p = ranked(known.where("y = 1"), positives).withColumn("p", F.lit(1))
-    u = ranked(docs.where(F.col("doc_id").isNotNull() & allowed), unlabelled).withColumn("p", F.lit(0))
-    sample = docs.select("doc_id", "text").join(F.broadcast(p.unionByName(u)), "doc_id").select("doc_id", "text", "h", "p")
+    u = ranked(docs.where(F.col("doc_id").isNotNull() & allowed).select("doc_id").distinct(), unlabelled).withColumn("p", F.lit(0))
+    # An id may be in both samples; each text is read once.
+    picked = p.unionByName(u).groupBy("doc_id", "h").agg(F.max("p").alias("p"), (F.min("p") == 0).alias("u"))
+    sample = hashed(one_text(docs, picked).withColumn("t", F.xxhash64("text", F.lit(1))), HASHER).drop("x")
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
-        hasher = Hasher(**HASHER)
-        pdf = pdf.sort_values(["p", "h", "doc_id", "text"], kind="stable").drop_duplicates(["p", "text"])  # copies say nothing new
-        rows = [hasher(t)[0].astype(np.int32) for t in pdf["text"]]
-        is_p = pdf["p"].to_numpy() == 1
-        w = nnpu([r for r, x in zip(rows, is_p, strict=True) if x], [r for r, x in zip(rows, is_p, strict=True) if not x], size, prior)
-        return pd.DataFrame({"w": [w.astype(np.float32).tobytes()]})
+        pdf = pdf.sort_values(["h", "doc_id"], kind="stable")
+        side = lambda flag: list(pdf[flag].drop_duplicates("t")["idx"])  # noqa: E731  # copies say nothing new
+        w = nnpu(side(pdf["p"] == 1), side(pdf["u"]), size, prior)
+        out = pd.DataFrame({"w": [w.astype(np.float32).tobytes()]})
+        del pdf
+        released()
+        return out
 
     got = sample.groupBy(F.lit(0).alias("one")).applyInPandas(train, "w binary").collect()
     return np.frombuffer(got[0][0], np.float32).astype(np.float64) if got else np.append(np.zeros(size), np.log(prior / (1 - prior)))
 
 
-def score(df: DataFrame, weights: np.ndarray, threshold: float = 0.7) -> DataFrame:
-    """Append score and predicted."""
-    return linear_scores(df, weights, HASHER, bias_x=1.0, threshold=threshold)
+def score(df: DataFrame, weights: np.ndarray, threshold: float = 0.7, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """Append score and predicted, called ``names``."""
+    return linear_scores(df, weights, HASHER, bias_x=1.0, threshold=threshold, names=names)

@@ -3,11 +3,14 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 import regex  # noqa: F401
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -23,8 +26,17 @@ def text(rng, n):
 
 def documents(spark, rows):
     """Rows (doc_id, text, source) with extra, clashing columns."""
-    full = [(i, t, "en", s, None if t is None else len(t), "x", 0.1) for i, t, s in rows]
-    return spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long, size string, score double")
+    full = [(i, t, "en", s, None if t is None else len(t), *CLASH) for i, t, s in rows]
+    names = ("size string, score double, Predicted string, taken string, copies int, target binary, source_size string, _of int, h string, n int, row string, v string, `a.b` int, decoded string, token_ids string")
+    return spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long, " + names)
+
+
+CLASH = ("x", 0.125, "p", "t", -5, bytearray(b"t"), "many", 7, "head", -1, "r", "vv", 9, "d", "i")
+
+
+def unchanged(rows, columns):
+    """Every clashing column still holds what came in."""
+    return all(tuple(r)[-len(CLASH) :] == CLASH for r in rows) and len(columns) == 5 + len(CLASH)
 
 
 def awkward(seed=1, n=60):
@@ -94,6 +106,23 @@ def test_sharding_balances_bytes(spark):
     assert all((r.size, r.text_crc32) == want[r.doc_id] for r in got)
 
 
+def test_sharding_cuts_equal_weighted_medians(spark, monkeypatch):
+    """One level against rows sorted by hand: the left half ends at the row nearest half the bytes."""
+    rng = random.Random(6)
+    rows = [(i, text(rng, rng.randint(1, 60)), "s") for i in range(300)] + [(500 + k, "copies " * 9, "s") for k in range(150)]
+    for sorted_rows, bins in ((100_000, 4096), (5, 8)):  # by one sort, and through many rounds of bins
+        monkeypatch.setattr(sharding, "SORTED_ROWS", sorted_rows)
+        monkeypatch.setattr(sharding, "BINS", bins)
+        got = sharding.kd_shards(documents(spark, rows), 2).collect()
+        left, total = sum(r.size for r in got if r.shard == 0), sum(r.size for r in got)
+        assert abs(2 * left - total) <= max(r.size for r in got)
+    many = sharding.kd_shards(documents(spark, rows), 40).collect()
+    size = Counter()
+    for r in many:
+        size[r.shard] += r.size
+    assert len(size) == 40 and max(size.values()) - min(size.values()) <= 2 * max(r.size for r in many)
+
+
 def test_sharding_awkward(spark):
     shards_of(spark, awkward(), 5)
     shards_of(spark, [(1, "a", "s")] * 3, 4)
@@ -111,42 +140,86 @@ def vectors(seed=0, n=700, d=12):
 
 
 def frame(spark, rows):
-    return spark.createDataFrame([(i, v, "clash") for i, v in rows], "vec_id long, embedding array<float>, v string")
+    return spark.createDataFrame([(i, v, "clash", "r") for i, v in rows], "vec_id long, embedding array<double>, v string, row string")
 
 
-def test_hnsw_recall(spark):
-    rows = vectors()
-    good = {i: np.array(v, float) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and np.any(v)}
+def usable(rows):
+    return [(i, np.array(v, float)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all()]
+
+
+def by_query(df):
+    """Sorted results of each query id; queries that share an id lie side by side."""
     got = {}
-    for r in hnsw.nearest(frame(spark, rows), every=10, k=5, shard_rows=200).collect():
+    for r in df.collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-    assert set(got) == {i for i in good if i % 10 == 0 and len(good[i]) == 12}
+    return {q: sorted(x) for q, x in got.items()}
+
+
+def test_hnsw_recall(spark):
+    rows = vectors()
+    good = [(i, v) for i, v in usable(rows) if np.any(v)]
+    got = by_query(hnsw.nearest(frame(spark, rows), every=10, k=5, shard_rows=200))
+    assert set(got) == {i for i, v in good if i % 10 == 0 and len(v) == 12}
     hit = total = 0
     for q, found in got.items():
-        cos = {i: float(v @ good[q] / np.linalg.norm(v) / np.linalg.norm(good[q])) for i, v in good.items() if i != q and len(v) == len(good[q])}
-        best = sorted(cos, key=lambda i: (-round(cos[i], 12), i))[:5]
-        found.sort()
-        assert [f[0] for f in found] == [1, 2, 3, 4, 5]
-        assert all(abs(cos[i] - s) < 1e-12 for _, i, s in found)
-        hit, total = hit + len({i for _, i, _ in found} & set(best)), total + 5
+        own = [n for n, (i, _) in enumerate(good) if i == q]
+        assert [f[0] for f in found] == sorted([1, 2, 3, 4, 5] * len(own))
+        best = []
+        for n in own:
+            cos = [(float(v @ good[n][1] / np.linalg.norm(v) / np.linalg.norm(good[n][1])), i) for k, (i, v) in enumerate(good) if k != n and len(v) == 12]
+            best += [i for _, i in sorted((-round(c, 12), i) for c, i in cos)[:5]]
+            assert all(any(abs(c - s) < 1e-12 and i == x for c, x in cos) for _, i, s in found)
+        hit, total = hit + sum((Counter(best) & Counter(i for _, i, _ in found)).values()), total + len(best)
+    assert len(got[20]) == 10  # two rows of one id, each the other's nearest
+    assert sum(1 for r, i, _ in got[20] if r == 1 and i == 20) == 2
     assert hit / total >= 0.95
     assert hnsw.nearest(frame(spark, rows).limit(0), 10, 5).count() == 0
 
 
+def test_hnsw_tiny_and_huge_components(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 6))
+    size = rng.choice([1e-200, 1e200, 1.0], 60)
+    got = by_query(hnsw.nearest(frame(spark, [(i, (v * f).tolist()) for i, (v, f) in enumerate(zip(x, size))]), every=20, k=5))
+    for q, found in got.items():
+        cos = {i: float(x[i] @ x[q] / np.linalg.norm(x[i]) / np.linalg.norm(x[q])) for i in range(60) if i != q}
+        assert [i for _, i, _ in found] == sorted(cos, key=lambda i: -cos[i])[:5] and all(abs(cos[i] - s) < 1e-12 for _, i, s in found)
+
+
+def brute_top(rows, every, k):
+    good = [(i, [int(v) for v in np.floor(64 * x)]) for i, x in usable(rows)]
+    out = {}
+    for n, (q, x) in enumerate(good):
+        if q % every == 0:
+            dots = [(-sum(a * b for a, b in zip(x, y)), i) for m, (i, y) in enumerate(good) if m != n and len(y) == len(x)]
+            best = sorted(dots)[:k]
+            if best:
+                out.setdefault(q, []).extend((r + 1, i, max(min(-s, (1 << 63) - 1), -(1 << 63))) for r, (s, i) in enumerate(best))
+    return {q: sorted(x) for q, x in out.items()}
+
+
 def test_topk_is_exact(spark):
     rows = vectors(1)
-    good = {i: np.floor(64 * np.array(v, np.float64)).astype(np.int64) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all()}
-    got = {}
-    for r in topk.largest(frame(spark, rows), every=20, k=20, shard_rows=150).collect():
-        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-    assert set(got) == {i for i in good if i % 20 == 0 and len([1 for v in good.values() if len(v) == len(good[i])]) > 1}
-    for q, found in got.items():
-        dots = {i: int(v @ good[q]) for i, v in good.items() if i != q and len(v) == len(good[q])}
-        best = sorted(dots, key=lambda i: (-dots[i], i))[:20]
-        assert sorted(found) == [(k + 1, i, dots[i]) for k, i in enumerate(best)]
+    assert by_query(topk.largest(frame(spark, rows), every=20, k=20, shard_rows=150)) == brute_top(rows, 20, 20)
     assert topk.largest(frame(spark, rows).limit(0), 20, 20).count() == 0
 
 
+def test_topk_keeps_large_components(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(240, 5)) * 2.0 ** rng.choice([0, 0, 0, 12, 22, 30, 60, 100, 500], (240, 1))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(400, [300000.0, 1.0, 0.0, 0.0, 0.0]), (420, [1e308] * 5), (440, [2e306] * 5), (441, [-2e306] * 5), (442, [2.0**52 + 1, 0.5, 0, 0, 0])]
+    want = brute_top([r for r in rows if r[0] != 420], 20, 20)  # 64 times 1e308 is not finite
+    assert by_query(topk.largest(frame(spark, rows), every=20, k=20, shard_rows=60)) == want
+
+
+def test_topk_query_chunks(spark, monkeypatch):
+    from marginforge.llm import vectors as shared
+
+    monkeypatch.setattr(shared, "QUERY_BYTES", 1000)
+    rows = vectors(2, 300)
+    assert by_query(topk.largest(frame(spark, rows), every=20, k=20, shard_rows=150)) == brute_top(rows, 20, 20)
+
+
 # -- 4, 6 ------------------------------------------------------------------------------------------
 def labelled(spark, kind):
     rng, docs, labels = random.Random(7), [], []
@@ -166,7 +239,14 @@ def labelled(spark, kind):
 def test_quality_learns_and_holds_out(spark):
     docs, labels = labelled(spark, "quality")
     w = quality.fit(docs, labels, "quality", F.col("doc_id") % 5 != 2)
-    got = {r.doc_id: r for r in quality.score(docs, w).collect()}
+    names = ("s", "p")
+    got = {r.doc_id: Row(doc_id=r.doc_id, score=r.s, predicted=r.p) for r in quality.score(docs, w, names=names).collect()}
+    with pytest.raises(ValueError):
+        quality.score(docs, w)
+    kept = quality.kept(docs, lambda d, names: quality.score(d, w, names=names), lambda s: s >= 0.5)
+    assert kept.columns == docs.columns and unchanged(kept.collect(), kept.columns)
+    assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.score >= 0.5}
+    docs = docs.select("doc_id", "text")
     assert len(got) == 603 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got.values())
     held = [i for i in range(600) if i % 5 == 2]
     assert np.mean([(got[i].score >= 0.5) == (i % 4 != 0) for i in held]) > 0.95
@@ -178,6 +258,7 @@ def test_quality_learns_and_holds_out(spark):
 
 def test_toxicity_learns_from_positives_and_unlabelled(spark):
     docs, labels = labelled(spark, "toxic")
+    docs = docs.select("doc_id", "text")
     w = toxicity.fit(docs, labels, "toxic", F.col("doc_id") % 5 != 2)
     got = {r.doc_id: r for r in toxicity.score(docs, w).collect()}
     held = [i for i in range(600) if i % 5 == 2]
@@ -198,6 +279,53 @@ def test_ftrl_is_close_to_batch():
     assert np.abs(m.weights() - [2, -1, 0, 0.5, 0]).max() < 0.4
 
 
+def test_samples_bound_rows(spark):
+    rows = [(k % 3, f"text {k}", "s") for k in range(90)]
+    labels = spark.createDataFrame([(k % 3, 1, 1) for k in range(30)], "doc_id long, quality int, toxic int")
+    got = quality.training_sample(documents(spark, rows), labels, "quality", F.lit(True), 2).collect()
+    assert len(got) == 2 and all(r.text == min(t for i, t, _ in rows if i == r.doc_id) for r in got)
+    picked = labels.select("doc_id").distinct().withColumn("p", F.lit(1))
+    assert quality.one_text(documents(spark, rows), picked).count() == 3
+
+
+def test_ftrl_update_by_hand():
+    """Two steps of the published update on a dense pair of coordinates, written out."""
+    a, b, l1, l2 = 0.5, 1.0, 0.02, 0.1
+    z, n, m = [0.0, 0.0], [0.0, 0.0], quality.Ftrl(2, a, b, l1, l2)
+    for x, y in (((1.0, -0.5), 1.0), ((0.3, 2.0), 0.0)):
+        w = [0.0 if abs(z[i]) <= l1 else -(z[i] - (l1 if z[i] > 0 else -l1)) / ((b + n[i] ** 0.5) / a + l2) for i in (0, 1)]
+        p = 1 / (1 + np.exp(-(w[0] * x[0] + w[1] * x[1])))
+        for i in (0, 1):
+            g = (p - y) * x[i]
+            s = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / a
+            z[i], n[i] = z[i] + g - s * w[i], n[i] + g * g
+        m.update(np.arange(2), np.array(x), y)
+    assert np.allclose(m.z, z) and np.allclose(m.n, n)
+
+
+def test_nnpu_lowers_the_corrected_risk():
+    """The risk computed directly: below that of any constant score and of nearby weights."""
+    rng = np.random.default_rng(3)
+    size, prior = 40, 0.3
+    draw = lambda n, p: [np.flatnonzero(rng.random(size) < p) for _ in range(n)]
+    toxic, clean = np.where(np.arange(size) < 6, 0.5, 0.2), np.where(np.arange(size) < 6, 0.02, 0.2)
+    pos = draw(300, toxic)
+    unl = draw(300, toxic) + draw(700, clean)
+    w = toxicity.nnpu(pos, unl, size, prior)
+
+    def risk(w):
+        f = lambda rows: np.array([w[r].sum() + w[-1] for r in rows])
+        fp, fu = f(pos), f(unl)
+        return prior * np.logaddexp(0, -fp).mean() + max(0.0, np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean())
+
+    flat = min(risk(np.append(np.zeros(size), c)) for c in np.linspace(-4, 4, 81))
+    assert risk(w) < 0.8 * flat
+    assert all(risk(np.append(w[:-1], w[-1] + c)) > 0.9 * risk(w) for c in (-1, -0.5, 0.5, 1))
+    truth = np.array([1] * 300 + [0] * 700)
+    f = np.array([w[r].sum() + w[-1] for r in unl])
+    assert ((f > 0) == truth).mean() > 0.9
+
+
 def test_features_fold_case_and_mark():
     h = features.Hasher(18)
     a, b = h("Same words here"), h("same Words HERE")
@@ -208,7 +336,8 @@ def test_features_fold_case_and_mark():
 # -- 7 ---------------------------------------------------------------------------------------------
 def test_mixing_targets(spark):
     rows = awkward()
-    got = mixing.plan_copies(documents(spark, rows)).collect()
+    plain = lambda d: d.select("doc_id", "text", "source")
+    got = mixing.plan_copies(plain(documents(spark, rows))).collect()
     assert len(got) == len(rows)
     total, target = sum(r.size for r in got), {r.source: (r.source_size, r.target) for r in got}
     weight = dict(zip(sorted([s for s in target if s is not None]) + [None], [1, 2, 3, 1]))
@@ -224,8 +353,11 @@ def test_mixing_targets(spark):
     want = cap | share
     assert all(abs(target[s][1] - want[s]) < 1e-6 for s in target)
     assert all(r.taken in {r.size * int(r.target / max(r.source_size, 1)), r.size * (int(r.target / max(r.source_size, 1)) + 1)} and r.taken <= 3 * r.size for r in got)
-    assert mixing.emit(documents(spark, rows)).count() == sum(r.copies for r in got)
-    again = mixing.plan_copies(documents(spark, rows[::-1]).repartition(3)).collect()
+    mixed = mixing.emit(documents(spark, rows))
+    assert mixed.count() == sum(r.copies for r in got) and unchanged(mixed.collect(), mixed.columns)
+    with pytest.raises(ValueError):
+        mixing.plan_copies(documents(spark, rows))
+    again = mixing.plan_copies(plain(documents(spark, rows[::-1])).repartition(3)).collect()
     key = lambda r: (str(r.doc_id), str(r.source), r.taken)
     assert sorted(map(key, got)) == sorted(map(key, again))
 
@@ -233,9 +365,10 @@ def test_mixing_targets(spark):
 def test_mixing_comes_near(spark):
     rng = random.Random(3)
     rows = [(i, text(rng, 10), f"s{i % 4}") for i in range(4000)]
-    per = mixing.plan_copies(documents(spark, rows)).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g")).collect()
+    plain = documents(spark, rows).select("doc_id", "text", "source")
+    per = mixing.plan_copies(plain).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g")).collect()
     assert all(abs(r.t / r.g - 1) < 0.1 for r in per)
-    assert mixing.plan_copies(documents(spark, rows).limit(0)).count() == 0
+    assert mixing.plan_copies(plain.limit(0)).count() == 0
 
 
 # -- 8 ---------------------------------------------------------------------------------------------
@@ -285,6 +418,47 @@ def test_jaccard_equals_brute_force(spark, n, percent):
             assert (r.n_shingles, r.component_id) == want[r.doc_id]
 
 
+def test_jaccard_crowds_equal_brute_force(spark, monkeypatch):
+    """Large runs whose heads link with few: by blocks of sketches, several a run."""
+    monkeypatch.setattr(jaccard, "FEW", 2)
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 4000)
+    rng = random.Random(5)
+    rows, base = [(7000, "one two three", "s")], [f"w{k}" for k in range(240)]
+    for k in range(60):  # about as far from each other as linked texts may be
+        w = list(base)
+        for j in rng.sample(range(240), 4 if k % 3 else 5):
+            w[j] = f"x{rng.randrange(10**6)}"
+        rows.append((k * 7 % 60, " ".join(w), "s"))
+    got = jaccard.join_documents(documents(spark, rows), 3, 90).collect()
+    want = brute_join(rows, 3, 90)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert 5 < len({c for _, c in want.values()})
+
+
+def test_crowded_pairs_grow_with_the_runs(spark, monkeypatch):
+    """Groups just under the threshold, no link at all: pairs that leave the blocks do not grow with the square."""
+    sent, real = [], jaccard.likely
+
+    def likely(pairs, known, percent):
+        sent.append(pairs.count())
+        return real(pairs, known, percent)
+
+    monkeypatch.setattr(jaccard, "likely", likely)
+    total = []
+    for n in (100, 200):
+        rng, rows, base = random.Random(n), [], [f"w{k}" for k in range(600)]
+        for k in range(n):
+            w = list(base)
+            for j in rng.sample(range(600), 6):
+                w[j] = f"x{k}y{j}"
+            rows.append((k, " ".join(w), "s"))
+        sent.clear()
+        got = jaccard.join_documents(documents(spark, rows), 3, 90)
+        assert got.select("component_id").distinct().count() == len({c for _, c in brute_join(rows, 3, 90).values()})
+        total.append(sum(sent))
+    assert 0 < total[1] < 3.2 * total[0]
+
+
 def test_jaccard_empty_and_keep_one(spark):
     rows = awkward()
     assert jaccard.join_documents(documents(spark, rows).limit(0), 3, 90).count() == 0
@@ -292,7 +466,7 @@ def test_jaccard_empty_and_keep_one(spark):
     want = brute_join(rows, 3, 90)
     ids = [r.doc_id for r in kept.collect()]
     assert sorted(i for i in ids if i is not None) == sorted({c for _, c in want.values()}) and ids.count(None) == 1
-    assert kept.columns == documents(spark, rows).columns
+    assert kept.columns == documents(spark, rows).columns and unchanged(kept.collect(), kept.columns)
 
 
 def test_signatures_meet():
@@ -389,19 +563,68 @@ def test_url_rules_and_graph(spark):
 def test_pagerank_against_numpy(spark):
     rng = np.random.default_rng(3)
     edges = {(int(a), int(b)): int(n) for a, b, n in rng.integers(1, 9, (25, 3))}
-    df = spark.createDataFrame([(str(a), str(b), n) for (a, b), n in edges.items()], "src string, dst string, n long")
-    seeds = spark.createDataFrame([("1", 3.0), ("2", 1.0)], "host string, weight double")
-    got = {r.host: r.mass for r in urls.pagerank(df, seeds, rounds=6).collect()}
-    M = np.zeros((9, 9))
+    edges |= {(20 + k, 21 + k): 1 for k in range(30)} | {(1, 20): 2}  # a path longer than a dozen links
+    df = spark.createDataFrame([("t", str(a), str(b), n) for (a, b), n in edges.items()], "walk string, src string, dst string, n long")
+    seeds = spark.createDataFrame([("t", "1", 3.0), ("t", "2", 1.0)], "walk string, host string, weight double")
+    got = {r.host: r.mass for r in urls.pagerank(df, seeds, tolerance=1e-6).collect()}
+    M = np.zeros((52, 52))
     for (a, b), n in edges.items():
         M[b, a] = n
     M = M / np.maximum(M.sum(0), 1)
-    s = np.zeros(9)
+    s = np.zeros(52)
     s[1], s[2] = 0.75, 0.25
-    r = s.copy()
-    for _ in range(6):
-        r = 0.85 * M @ r + 0.15 * s
-    assert all(abs(got.get(str(k), 0) - r[k]) < 1e-12 for k in range(1, 9))
+    r = np.linalg.solve(np.eye(52) - 0.85 * M, 0.15 * s)
+    assert sum(abs(got.get(str(k), 0) - r[k]) for k in range(52)) < 1e-6 and got["45"] > 0
+    empty = {r.host: r.mass for r in urls.pagerank(df.limit(0), seeds).collect()}
+    assert abs(empty["1"] - 0.75 * 0.15) < 1e-12
+
+
+def brute_urls(pages, rules, threshold=0.1):
+    """The whole query by hand: links, both walks solved exactly, thresholds."""
+
+    def parts(url):
+        if not url or "://" not in url:
+            return "", ""
+        rest = url.split("://", 1)[1]
+        host = re.match(r"[^/?#]*", rest)[0]
+        return re.sub("[A-Z]", lambda m: m[0].lower(), host), re.match(r"[^?#]*", rest[len(host) :])[0]
+
+    def rule(host, path):
+        fit = [(len(h) + len(p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fit)[1:] if fit else (None, None)
+
+    judged = [(i, *parts(u), *rule(*parts(u)), html or "") for i, u, html in pages]
+    links, seeds = Counter(), {"allow": Counter(), "block": Counter()}
+    for _, host, _, _, v, html in judged:
+        for m in re.finditer(r"""(?:href|src)\s*=\s*["']?((?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^"'\s>]+)""", html):
+            to = parts("http:" + m[1] if m[1].startswith("//") else m[1])[0]
+            if host and to:
+                links[host, to] += 1
+        if host and v:
+            seeds[v][host] += 1
+    names = sorted({h for e in links for h in e} | set(seeds["allow"]) | set(seeds["block"]))
+    at, mass = {h: k for k, h in enumerate(names)}, {}
+    for w in seeds:
+        M = np.zeros((len(names), len(names)))
+        for (a, b), n in links.items():
+            a, b = (a, b) if w == "allow" else (b, a)
+            M[at[b], at[a]] += n
+        M = M / np.maximum(M.sum(0), 1e-300) if len(names) else M
+        s = np.array([seeds[w][h] for h in names], float)
+        mass[w] = np.linalg.solve(np.eye(len(names)) - 0.85 * M, 0.15 * s / max(s.sum(), 1))
+    reached = [k for k in range(len(names)) if mass["allow"][k] > 0 or mass["block"][k] > 0]
+    block = {names[k] for k in reached if mass["block"][k] - mass["allow"][k] > threshold / len(reached)}
+    return sorted((str(i), h, p, str(r), v or ("block" if h in block else "allow")) for i, h, p, r, v, _ in judged)
+
+
+def test_url_query_equals_brute_force(spark):
+    rng = random.Random(2)
+    hosts = [f"{a}.example.{t}" for a in ("aa", "bb", "cc", "dd", "m.ee", "ff") for t in ("com", "net", "org")] + ["Lone.info", "end.info"]
+    pages = [(k, None if k == 7 else f"https://{rng.choice(hosts)}/{rng.choice(['en', 'de', 'es', 'fr'])}/{rng.randrange(90)}{rng.choice(['', '?q=1', '#x'])}", "".join(f'<a href="//{rng.choice(hosts)}/x">' for _ in range(rng.randrange(4)))) for k in range(150)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = sorted((str(r.page_id), r.host, r.path, str(r.rule), r.verdict) for r in urls.judge(df, queries.URL_RULES, tolerance=1e-9).collect())
+    assert got == brute_urls(pages, queries.URL_RULES)
+    assert {v for *_, r, v in got if r == "None"} == {"allow", "block"}
 
 
 # -- queries and pipeline ---------------------------------------------------------------------------
@@ -410,12 +633,90 @@ def test_query_equals_sql(spark, same, sf, name):
     same(queries.QUERIES[name](spark, sf), queries.ORACLES[name])
 
 
+CONTRACT = {
+    "op1_byte_bpe": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+    "op2_kd_sharding": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
+    "op3_hnsw": "query_id bigint, rank int, vec_id bigint, score double",
+    "op4_quality_ftrl": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op5_exact_topk": "query_id bigint, rank int, vec_id bigint, score bigint",
+    "op6_toxicity_nnpu": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op7_source_mixing": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
+    "op8_jaccard_join": "doc_id bigint, n_shingles bigint, component_id bigint",
+    "op9_chat_format": "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint",
+    "op10_url_filter": "page_id bigint, host string, path string, rule string, verdict string",
+}
+
+
+@pytest.mark.parametrize("name", sorted(CONTRACT))
+def test_registered_query(spark, sf, name, tokenizer):
+    """Every contract query over its whole table: columns, row counts, and values by hand where SQL does not say them."""
+    df = queries.QUERIES[name](spark, sf)
+    assert ", ".join(f"{c} {t}" for c, t in df.dtypes) == CONTRACT[name]
+    rows = df.collect()
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    if name in ("op1_byte_bpe", "op2_kd_sharding", "op4_quality_ftrl", "op6_toxicity_nnpu", "op8_jaccard_join"):
+        assert sorted(r.doc_id for r in rows) == sorted(docs)
+    if name == "op1_byte_bpe":
+        for r in rows:
+            ids = tokenizer[1].encode_ordinary(docs[r.doc_id])
+            assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+            assert r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()
+    if name == "op2_kd_sharding":
+        per = {}
+        for r in rows:
+            raw = docs[r.doc_id].encode()
+            assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(raw) + 8, zlib.crc32(raw), "bytes", None)
+            per.setdefault(r.shard, []).append(r.slot)
+        assert set(per) <= set(range(24)) and all(sorted(x) == list(range(len(x))) for x in per.values())
+    if name in ("op4_quality_ftrl", "op6_toxicity_nnpu"):
+        mod, rest = (4, 2) if name[2] == "4" else (3, 1)
+        assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % mod == rest) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows)
+    if name == "op8_jaccard_join":
+        want = brute_join([(i, t, None) for i, t in docs.items()], 3, 90)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == want
+    if name == "op3_hnsw":
+        x = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+        hit = 0
+        for q in {r.query_id for r in rows}:
+            cos = sorted((-float(v @ x[q] / np.linalg.norm(v) / np.linalg.norm(x[q])), i) for i, v in x.items() if i != q)[:5]
+            hit += len({i for _, i in cos} & {r.vec_id for r in rows if r.query_id == q})
+        assert hit >= 0.95 * len(rows) and len(rows) == 5 * sum(i % 50 == 0 for i in x)
+    if name == "op10_url_filter":
+        pages = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+        assert sorted((str(r.page_id), r.host, r.path, str(r.rule), r.verdict) for r in rows) == brute_urls(pages, queries.URL_RULES)
+
+
+def test_pipeline_on_awkward_tables(spark, tmp_path):
+    """Every stage on nulls, repeated ids, clashing columns and no rows: columns and values come back unchanged."""
+    docs = documents(spark, awkward())
+    labels = spark.createDataFrame([(k, 1, int(k % 9 == 0)) for k in range(40)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and unchanged(rows, out.columns), name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+    last = corpus_pipeline.encoding_stage(spark, docs.drop("lang"), str(tmp_path))
+    assert last.columns == ["doc_id", "source", "n_tokens", "ids_sha256", "decoded_sha256"] and last.count() == docs.count()
+    # By hand: the toxicity stage keeps what its scores say, the mixing stage what its plan says.
+    w = toxicity.fit(docs, labels, "toxic", F.lit(True))
+    plain = docs.select("doc_id", "text", "source")
+    low = [str(r.doc_id) for r in toxicity.score(plain, w).collect() if r.score < corpus_pipeline.TOXICITY_MOST]
+    assert sorted(low) == sorted(str(r.doc_id) for r in corpus_pipeline.toxicity_stage(spark, docs, str(tmp_path)).collect())
+    copies = Counter()
+    for r in mixing.plan_copies(plain).collect():
+        copies[str(r.doc_id), str(r.source)] += r.copies
+    got = Counter((str(r.doc_id), str(r.source)) for r in corpus_pipeline.mixing_stage(spark, docs, str(tmp_path)).collect())
+    assert got == +copies
+
+
 def test_pipeline_stages(spark, sf, tokenizer):
     docs = spark.read.parquet(f"{sf}/documents.parquet").cache()
     kept = corpus_pipeline.quality_stage(spark, docs, sf)
     assert kept.columns == docs.columns
     w = quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"), "quality", F.lit(True))
-    want = {r.doc_id for r in quality.score(docs, w).collect() if r.score >= corpus_pipeline.QUALITY_LEAST}
+    want = {r.doc_id for r in quality.score(docs.select("doc_id", "text"), w).collect() if r.score >= corpus_pipeline.QUALITY_LEAST}
     assert {r.doc_id for r in kept.collect()} == want
     single = corpus_pipeline.jaccard_stage(spark, docs, sf)
     brute = brute_join([(r.doc_id, r.text, None) for r in docs.collect()], 5, 80)
