@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 
 def dense(df: DataFrame, id: str, vector: str, label: str | None = None) -> DataFrame:
     """(id, features array<double>[, label]) of rows with an id and a vector."""
@@ -12,21 +14,21 @@ def dense(df: DataFrame, id: str, vector: str, label: str | None = None) -> Data
     return df.where(F.col(id).isNotNull() & F.col(vector).isNotNull()).select(*out, *([F.col(label).alias("label")] if label else []))
 
 
+def _histogram(tokens: DataFrame) -> DataFrame:
+    """(id, idx, val): L1-normalised counts of (id, idx) rows; texts are cut once, totals come from the counts."""
+    counts = tokens.groupBy("id", "idx").agg(F.count("*").alias("n"))
+    return counts.select("id", "idx", (F.col("n") / F.sum("n").over(Window.partitionBy("id"))).alias("val"))
+
+
 def token_histogram(df: DataFrame, id: str, text: str) -> DataFrame:
     """(id, idx, val): L1-normalised counts of ASCII lower-case runs; the token itself is the index."""
-    tokens = df.select(F.col(id).alias("id"), F.explode(F.regexp_extract_all(text, F.lit("[a-z]+"), F.lit(0))).alias("idx"))
-    counts = tokens.groupBy("id", "idx").agg(F.count("*").alias("n"))
-    totals = tokens.groupBy("id").agg(F.count("*").alias("all"))
-    return counts.join(totals, "id").select("id", "idx", (F.col("n") / F.col("all")).alias("val"))
+    return _histogram(df.select(F.col(id).alias("id"), F.explode(F.regexp_extract_all(text, F.lit("[a-z]+"), F.lit(0))).alias("idx")))
 
 
 def bigram_histogram(df: DataFrame, id: str, text: str) -> DataFrame:
     """(id, idx, val): L1-normalised counts of letter pairs inside ASCII lower-case runs."""
     runs = df.select(F.col(id).alias("id"), F.explode(F.regexp_extract_all(text, F.lit("[a-z][a-z]+"), F.lit(0))).alias("w"))
-    pairs = runs.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda p: F.substr("w", p, F.lit(2)))).alias("idx"))
-    counts = pairs.groupBy("id", "idx").agg(F.count("*").alias("n"))
-    totals = pairs.groupBy("id").agg(F.count("*").alias("all"))
-    return counts.join(totals, "id").select("id", "idx", (F.col("n") / F.col("all")).alias("val"))
+    return _histogram(runs.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda p: F.substr("w", p, F.lit(2)))).alias("idx")))
 
 
 def one_vs_rest(df: DataFrame, label: str, classes: DataFrame) -> DataFrame:
@@ -55,12 +57,14 @@ def numbered(df: DataFrame, order: str | list, out: str = "rn", by: str | list[s
     ``total`` gets the rows counted, ``sums`` maps new names to columns that are
     summed up to each row. Rows are range-partitioned and numbered inside their
     partition; what a partition starts from comes from the counts and sums of those
-    before it, a few rows each, so no task holds all rows, nor all of one value.
+    before it, a few rows each, so no task holds all rows, nor all of one value. The
+    partitioned rows are written once, and read for the counts and for the numbers.
     """
     order = [order] if isinstance(order, (str, Column)) else list(order)
     keys, sums = [by] if isinstance(by, str) else list(by or []), sums or {}
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part = df.repartitionByRange(n, *keys, *order).withColumn("_p", F.spark_partition_id()).persist()
+    part = df.repartitionByRange(n, *keys, *order).withColumn("_p", F.spark_partition_id())
+    part = written(part, "numbered")
     counts = part.groupBy("_p", *keys).agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_v_{k}") for k, c in sums.items()])
     same = Window.partitionBy(*keys)
     before = same.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)

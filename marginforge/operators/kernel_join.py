@@ -10,34 +10,71 @@ below its threshold.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
 
 
-def row_sums(sparse: DataFrame, ids: DataFrame) -> DataFrame:
+def summed(value: Column, digits: int | None = None) -> Column:
+    """Sum of a column; with ``digits``, of its values in whole units of 10^-digits, so that the order of rows cannot show."""
+    if digits is None:
+        return F.sum(value)
+    return F.sum(F.floor(value * 10.0**digits + 0.5)).cast("double") / 10.0**digits
+
+
+def row_sums(sparse: DataFrame, ids: DataFrame, digits: int | None = None) -> DataFrame:
     """(id, s, q, n) of every id: sum, sum of squares and count of its entries; empty rows count 0."""
-    sums = sparse.groupBy("id").agg(F.sum("val").alias("s"), F.sum(F.col("val") * F.col("val")).alias("q"), F.count("*").alias("n"))
+    sums = sparse.groupBy("id").agg(summed(F.col("val"), digits).alias("s"), summed(F.col("val") * F.col("val"), digits).alias("q"), F.count("*").alias("n"))
     return ids.select("id").join(sums, "id", "left").na.fill(0)
 
 
-def sparse_kernel(a: DataFrame, a_ids: DataFrame, b: DataFrame, b_ids: DataFrame, kind: str | list[str]) -> DataFrame:
+def sparse_kernel(a: DataFrame, a_ids: DataFrame, b: DataFrame, b_ids: DataFrame, kind: str | list[str], digits: int | None = None) -> DataFrame:
     """(i, j, k) of every pair, or one column a kernel if several are asked for."""
     kinds = [kind] if isinstance(kind, str) else kind
     shared = a.select(F.col("id").alias("i"), "idx", F.col("val").alias("va")).join(b.select(F.col("id").alias("j"), "idx", F.col("val").alias("vb")), "idx")
-    terms = [F.sum(kernels.SPARSE[k][0](F.col("va"), F.col("vb"))).alias(f"t_{k}") for k in kinds]
-    summed = shared.groupBy("i", "j").agg(*terms)
-    left = row_sums(a, a_ids).select(F.col("id").alias("i"), F.col("s").alias("sa"), F.col("q").alias("qa"), F.col("n").alias("na"))
-    right = row_sums(b, b_ids).select(F.col("id").alias("j"), F.col("s").alias("sb"), F.col("q").alias("qb"), F.col("n").alias("nb"))
-    grid = left.crossJoin(right).join(summed, ["i", "j"], "left")
+    terms = [summed(kernels.SPARSE[k][0](F.col("va"), F.col("vb")), digits).alias(f"t_{k}") for k in kinds]
+    sums = shared.groupBy("i", "j").agg(*terms)
+    left = row_sums(a, a_ids, digits).select(F.col("id").alias("i"), F.col("s").alias("sa"), F.col("q").alias("qa"), F.col("n").alias("na"))
+    right = row_sums(b, b_ids, digits).select(F.col("id").alias("j"), F.col("s").alias("sb"), F.col("q").alias("qb"), F.col("n").alias("nb"))
+    grid = left.crossJoin(right).join(sums, ["i", "j"], "left")
     value = lambda k: kernels.SPARSE[k][1](F.coalesce(F.col(f"t_{k}"), F.lit(0.0)))
     return grid.select("i", "j", *[value(k).alias("k" if isinstance(kind, str) else k) for k in kinds])
 
 
+def fused_sparse(modalities: list[tuple[DataFrame, DataFrame]], a_ids: DataFrame, b_ids: DataFrame, kind: str, weights: list[float] | None = None, digits: int | None = None) -> DataFrame:
+    """(i, j, k): early fusion of sparse modalities in one pass.
+
+    The modality is part of the join key; every pair of rows is summed up once, with a
+    sum a modality, and the grid is filled once.
+    """
+    n = len(modalities)
+    weights = weights or [1.0 / n] * n
+    tagged = lambda at: reduce(DataFrame.unionByName, [m[at].select("id", F.lit(k).alias("m"), "idx", "val") for k, m in enumerate(modalities)])
+    a, b = tagged(0), tagged(1)
+    own = lambda k, c: F.when(F.col("m") == k, c)
+    shared = a.select(F.col("id").alias("i"), "m", "idx", F.col("val").alias("va")).join(b.select(F.col("id").alias("j"), "m", "idx", F.col("val").alias("vb")), ["m", "idx"])
+    term = kernels.SPARSE[kind][0](F.col("va"), F.col("vb"))
+    sums = shared.groupBy("i", "j").agg(*[summed(own(k, term), digits).alias(f"t{k}") for k in range(n)])
+
+    def side(rows: DataFrame, ids: DataFrame, key: str, tag: str) -> DataFrame:
+        v = F.col("val")
+        parts = [(f"s{tag}{k}", summed(own(k, v), digits)) for k in range(n)] + [(f"q{tag}{k}", summed(own(k, v * v), digits)) for k in range(n)] + [(f"n{tag}{k}", F.count(own(k, v))) for k in range(n)]
+        return ids.select("id").join(rows.groupBy("id").agg(*[c.alias(name) for name, c in parts]), "id", "left").na.fill(0).withColumnRenamed("id", key)
+
+    grid = side(a, a_ids, "i", "a").crossJoin(side(b, b_ids, "j", "b")).join(sums, ["i", "j"], "left")
+    total = None
+    for k, w in enumerate(weights):
+        names = {f"{c}{t}": F.col(f"{c}{t}{k}") for c in "sqn" for t in "ab"}
+        grid = grid.withColumns(names).withColumn(f"k{k}", kernels.SPARSE[kind][1](F.coalesce(F.col(f"t{k}"), F.lit(0.0))))
+        total = F.col(f"k{k}") * w if total is None else total + F.col(f"k{k}") * w
+    return grid.select("i", "j", total.alias("k"))
+
+
 def blocks(dense: DataFrame, rows: int = 512) -> DataFrame:
     """(block, ids, x): rows of (id, features) packed by hash into blocks of about ``rows``."""
     n = max(1, -(-dense.count() // rows))
@@ -45,8 +82,8 @@ def blocks(dense: DataFrame, rows: int = 512) -> DataFrame:
     return packed.agg(F.sort_array(F.collect_list(F.struct("id", "features"))).alias("r")).select("block", F.col("r.id").alias("ids"), F.col("r.features").alias("x"))
 
 
-def tiles(a: DataFrame, b: DataFrame, work: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], pd.DataFrame], schema: str, rows: int = 512) -> DataFrame:
-    """Apply ``work(ids_a, A, ids_b, B)`` to every pair of blocks."""
+def tiles(a: DataFrame, b: DataFrame, work: Callable[..., pd.DataFrame], schema: str, rows: int = 512, stacked: bool = True) -> DataFrame:
+    """Apply ``work(ids_a, A, ids_b, B)`` to every pair of blocks; B is a matrix, or the list of b's rows if not ``stacked``."""
     left, right = blocks(a, rows), blocks(b, rows).select(F.col("block").alias("block_b"), F.col("ids").alias("ids_b"), F.col("x").alias("x_b"))
     n = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = left.crossJoin(right).repartition(n, "block", "block_b")
@@ -54,7 +91,7 @@ def tiles(a: DataFrame, b: DataFrame, work: Callable[[np.ndarray, np.ndarray, np
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                yield work(np.asarray(r.ids), np.stack(r.x), np.asarray(r.ids_b), np.stack(r.x_b))
+                yield work(np.asarray(r.ids), np.stack(r.x), np.asarray(r.ids_b), np.stack(r.x_b) if stacked else list(r.x_b))
 
     return pairs.select("ids", "x", "ids_b", "x_b").mapInPandas(run, schema)
 

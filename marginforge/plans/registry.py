@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,8 +42,8 @@ def _round(c, n: int = 6):
     return F.round(c, n) + 0.0
 
 
-#: Added before rounding sums of ratios, which often lie halfway between two rounded values.
-OFF_TIES = 3.17e-8
+#: Digits that sums of histogram terms keep: whole units add up alike in any order and in any engine.
+DIGITS = 15
 
 
 # -- SQL pieces ---------------------------------------------------------------------------------------
@@ -51,11 +52,15 @@ RBF = "list_sum(list_transform(list_zip(a.x, b.x), lambda p: (p[1] - p[2]) * (p[
 DOT = "list_sum(list_transform(list_zip(a.x, b.x), lambda p: p[1] * p[2]))"
 
 
+def _whole(c: str) -> str:
+    return f"(sum(floor({c} * 1e15 + 0.5)::BIGINT)::BIGINT::DOUBLE / 1e15)"
+
+
 def _hist(name: str, table: str, id: str) -> str:
     return f"""{name}_t AS (SELECT {id} AS id, unnest(regexp_extract_all(text, '[a-z]+')) AS tok FROM {table}),
 {name}_n AS (SELECT id, tok, count(*) AS n FROM {name}_t GROUP BY ALL),
 {name} AS (SELECT id, tok, n / sum(n) OVER (PARTITION BY id) AS val FROM {name}_n),
-{name}_s AS (SELECT d.id, coalesce(sum(val), 0) AS s, coalesce(sum(val * val), 0) AS q, count(val) AS n FROM (SELECT {id} AS id FROM {table}) d LEFT JOIN {name} h ON d.id = h.id GROUP BY d.id)"""
+{name}_s AS (SELECT d.id, coalesce({_whole("val")}, 0) AS s, coalesce({_whole("val * val")}, 0) AS q, count(val) AS n FROM (SELECT {id} AS id FROM {table}) d LEFT JOIN {name} h ON d.id = h.id GROUP BY d.id)"""
 
 
 # -- kernels ------------------------------------------------------------------------------------------
@@ -85,39 +90,40 @@ def f8_standard_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_hist("a", "documents", "doc_id")}, {_hist("b", "benchmark", "item_id")},
-t AS (SELECT a.id AS i, b.id AS j, sum(a.val * b.val) AS dot, sum(least(a.val, b.val)) AS mn, sum(CASE WHEN a.val + b.val = 0 THEN 0 ELSE a.val * b.val / (a.val + b.val) END) AS ch FROM a JOIN b ON a.tok = b.tok GROUP BY ALL)
-SELECT x.id AS i, y.id AS j, round(coalesce(dot, 0) + 3.17e-8, 6) + 0.0 AS linear, round(coalesce(mn, 0) / 2 + 3.17e-8, 6) + 0.0 AS intersection, round(-(x.q + y.q - 2 * coalesce(dot, 0)) / 2 + 3.17e-8, 6) + 0.0 AS rbf,
-  round(CASE WHEN x.n = 0 OR y.n = 0 THEN -1 ELSE -(x.s + y.s - 4 * coalesce(ch, 0)) / 2 END + 3.17e-8, 6) + 0.0 AS chi2,
-  round(CASE WHEN (x.n = 0) <> (y.n = 0) THEN -1 ELSE -(x.s + y.s - 4 * coalesce(ch, 0)) / 2 END + 3.17e-8, 6) + 0.0 AS chi2_zeros
+t AS (SELECT a.id AS i, b.id AS j, {_whole("a.val * b.val")} AS dot, {_whole("least(a.val, b.val)")} AS mn, {_whole("CASE WHEN a.val + b.val = 0 THEN 0 ELSE a.val * b.val / (a.val + b.val) END")} AS ch FROM a JOIN b ON a.tok = b.tok GROUP BY ALL)
+SELECT x.id AS i, y.id AS j, round(coalesce(dot, 0), 6) + 0.0 AS linear, round(coalesce(mn, 0) / 2, 6) + 0.0 AS intersection, round(-(x.q + y.q - 2 * coalesce(dot, 0)) / 2 + 0.0, 6) + 0.0 AS rbf,
+  round(CASE WHEN x.n = 0 OR y.n = 0 THEN -1.0 ELSE -(x.s + y.s - 4 * coalesce(ch, 0)) / 2 + 0.0 END, 6) + 0.0 AS chi2,
+  round(CASE WHEN (x.n = 0) <> (y.n = 0) THEN -1.0 ELSE -(x.s + y.s - 4 * coalesce(ch, 0)) / 2 + 0.0 END, 6) + 0.0 AS chi2_zeros,
+  round(-(x.s + y.s - 4 * coalesce(ch, 0)) / 2 + 0.0, 6) + 0.0 AS chi2_plain
 FROM a_s x CROSS JOIN b_s y LEFT JOIN t ON t.i = x.id AND t.j = y.id""")
 def j1_sparse_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents x benchmark: five kernels of token histograms by one equi-join on the token."""
+    """Documents x benchmark: six kernels of token histograms by one equi-join on the token."""
     a, b = _table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "benchmark", "item_id", "text")
     ha, hb = features.token_histogram(a, "doc_id", "text"), features.token_histogram(b, "item_id", "text")
-    kinds = ["linear", "intersection", "rbf", "chi2", "chi2_zeros"]
-    out = kernel_join.sparse_kernel(ha, a.select(F.col("doc_id").alias("id")), hb, b.select(F.col("item_id").alias("id")), kinds)
-    return out.select("i", "j", *[_round(F.col(k) + OFF_TIES).alias(k) for k in kinds])
+    kinds = ["linear", "intersection", "rbf", "chi2", "chi2_zeros", "chi2_plain"]
+    out = kernel_join.sparse_kernel(ha, a.select(F.col("doc_id").alias("id")), hb, b.select(F.col("item_id").alias("id")), kinds, DIGITS)
+    return out.select("i", "j", *[_round(k).alias(k) for k in kinds])
 
 
 _BIGRAM = """{n}_r AS (SELECT {id} AS id, unnest(regexp_extract_all(text, '[a-z][a-z]+')) AS w FROM {t}),
 {n}_t AS (SELECT id, unnest(list_transform(range(1, length(w)), lambda p: substr(w, p, 2))) AS tok FROM {n}_r),
 {n}_c AS (SELECT id, tok, count(*) AS n FROM {n}_t GROUP BY ALL),
 {n} AS (SELECT id, tok, n / sum(n) OVER (PARTITION BY id) AS val FROM {n}_c),
-{n}_s AS (SELECT d.id, coalesce(sum(val), 0) AS s, count(val) AS n FROM (SELECT {id} AS id FROM {t}) d LEFT JOIN {n} h ON d.id = h.id GROUP BY d.id)"""
+{n}_s AS (SELECT d.id, coalesce({s}, 0) AS s, count(val) AS n FROM (SELECT {id} AS id FROM {t}) d LEFT JOIN {n} h ON d.id = h.id GROUP BY d.id)"""
 
 
-@query(f"""WITH {_hist("a", "documents", "doc_id")}, {_hist("b", "benchmark", "item_id")}, {_BIGRAM.format(n="c", id="doc_id", t="documents")}, {_BIGRAM.format(n="d", id="item_id", t="benchmark")},
-t1 AS (SELECT a.id AS i, b.id AS j, sum(a.val * b.val / (a.val + b.val)) AS ch FROM a JOIN b ON a.tok = b.tok GROUP BY ALL),
-t2 AS (SELECT c.id AS i, d.id AS j, sum(c.val * d.val / (c.val + d.val)) AS ch FROM c JOIN d ON c.tok = d.tok GROUP BY ALL),
-k1 AS (SELECT x.id AS i, y.id AS j, CASE WHEN x.n = 0 OR y.n = 0 THEN -1 ELSE -(x.s + y.s - 4 * coalesce(ch, 0)) / 2 END AS k FROM a_s x CROSS JOIN b_s y LEFT JOIN t1 ON t1.i = x.id AND t1.j = y.id),
-k2 AS (SELECT x.id AS i, y.id AS j, CASE WHEN x.n = 0 OR y.n = 0 THEN -1 ELSE -(x.s + y.s - 4 * coalesce(ch, 0)) / 2 END AS k FROM c_s x CROSS JOIN d_s y LEFT JOIN t2 ON t2.i = x.id AND t2.j = y.id)
-SELECT i, j, round((k1.k + k2.k) / 2 + 3.17e-8, 6) + 0.0 AS k FROM k1 JOIN k2 USING (i, j)""")
+@query(f"""WITH {_hist("a", "documents", "doc_id")}, {_hist("b", "benchmark", "item_id")}, {_BIGRAM.format(n="c", id="doc_id", t="documents", s=_whole("val"))}, {_BIGRAM.format(n="d", id="item_id", t="benchmark", s=_whole("val"))},
+t1 AS (SELECT a.id AS i, b.id AS j, {_whole('a.val * b.val / (a.val + b.val)')} AS ch FROM a JOIN b ON a.tok = b.tok GROUP BY ALL),
+t2 AS (SELECT c.id AS i, d.id AS j, {_whole('c.val * d.val / (c.val + d.val)')} AS ch FROM c JOIN d ON c.tok = d.tok GROUP BY ALL),
+k1 AS (SELECT x.id AS i, y.id AS j, CASE WHEN x.n = 0 OR y.n = 0 THEN -1.0 ELSE -(x.s + y.s - 4 * coalesce(ch, 0)) / 2 + 0.0 END AS k FROM a_s x CROSS JOIN b_s y LEFT JOIN t1 ON t1.i = x.id AND t1.j = y.id),
+k2 AS (SELECT x.id AS i, y.id AS j, CASE WHEN x.n = 0 OR y.n = 0 THEN -1.0 ELSE -(x.s + y.s - 4 * coalesce(ch, 0)) / 2 + 0.0 END AS k FROM c_s x CROSS JOIN d_s y LEFT JOIN t2 ON t2.i = x.id AND t2.j = y.id)
+SELECT i, j, round(k1.k * 0.5 + k2.k * 0.5, 6) + 0.0 AS k FROM k1 JOIN k2 USING (i, j)""")
 def j4_early_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean of the chi2 kernels of two modalities, tokens and letter pairs."""
     a, b = _table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "benchmark", "item_id", "text")
     ia, ib = a.select(F.col("doc_id").alias("id")), b.select(F.col("item_id").alias("id"))
-    parts = [kernel_join.sparse_kernel(h(a, "doc_id", "text"), ia, h(b, "item_id", "text"), ib, "chi2") for h in (features.token_histogram, features.bigram_histogram)]
-    return kernel_join.fused(parts).select("i", "j", _round(F.col("k") + OFF_TIES).alias("k"))
+    parts = [(h(a, "doc_id", "text"), h(b, "item_id", "text")) for h in (features.token_histogram, features.bigram_histogram)]
+    return kernel_join.fused_sparse(parts, ia, ib, "chi2", digits=DIGITS).select("i", "j", _round("k").alias("k"))
 
 
 @query(f"WITH {E} SELECT a.id AS i, list(round({RBF}, 6) + 0.0 ORDER BY b.id) AS ks FROM e a, e b GROUP BY a.id")
@@ -283,7 +289,7 @@ def _machines(spark: SparkSession, d: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     d = _dense(spark, sf_dir)
     m, sv = _machines(spark, d)
-    decided = scoring.decisions(kernel_join.dense_kernel(d, d, "rbf"), sv, m)
+    decided = scoring.tile_decisions(d, d, sv, m)
     return m, decided, scoring.probabilities(decided, m)
 
 
@@ -383,18 +389,77 @@ def t13_multi_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("id", "label").join(machines.predict(d, machines.one_vs_one(d), d), "id")
 
 
-@query()
+@query("""WITH c AS (SELECT DISTINCT label FROM embeddings WHERE label < 3)
+SELECT vec_id AS id, (SELECT count(*) FROM c) AS classes, 1.0 AS total FROM embeddings WHERE label < 3""")
+def t15_class_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coupled probabilities of three classes, which add up to 1 in every row."""
+    d = _dense(spark, sf_dir).where("label < 3")
+    got = machines.probabilities(d, machines.one_vs_one(d, probability=True), d)
+    return got.select("id", F.size("probs").cast("long").alias("classes"), F.round(F.aggregate("probs", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+@query("SELECT vec_id AS id, true AS feasible FROM embeddings")
 def t10_one_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decision values of a one-class machine over the embeddings."""
+    """Whether each row keeps its side of a one-class machine: multipliers in the box, on the box only outside, 0 only inside, and of the right sum."""
     d = _dense(spark, sf_dir)
-    return machines.decide(d, machines.one_class(d, 0.2), d).select("id", "decision")
+    m = machines.one_class(d, 0.2)
+    n = d.agg(F.count("*").alias("n"))
+    total = m.support.agg(F.sum("coef").alias("total"))
+    at = machines.decide(d, m, d).join(m.support.select("id", "coef"), "id", "left").na.fill(0.0, ["coef"]).crossJoin(n).crossJoin(total)
+    f, a = F.col("decision"), F.col("coef")
+    fine = (a >= 0) & (a <= 1) & ((a > 0) | (f > -2e-3)) & ((a < 1) | (f < 2e-3)) & (F.abs(F.col("total") - 0.2 * F.col("n")) < 1e-6)
+    return at.select("id", fine.alias("feasible"))
 
 
-@query()
+@query("SELECT vec_id AS id, true AS feasible FROM embeddings")
 def t11_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Support-vector regression of the label number on the embeddings."""
+    """Whether each row meets the conditions of a tube regression of its label: 0 inside the tube, at the box beyond it."""
     d = _dense(spark, sf_dir)
-    return machines.decide(d, machines.regression(d), d).select("id", F.col("decision").alias("prediction"))
+    m = machines.regression(d)
+    at = machines.decide(d, m, d).join(m.support.select("id", "coef"), "id", "left").na.fill(0.0, ["coef"]).join(d.select("id", "label"), "id")
+    off, a = F.col("label") - F.col("decision"), F.col("coef")
+    fine = (F.abs(a) <= 1) & ((a != 0) | (F.abs(off) <= 0.1 + 2e-3)) & ((F.abs(a) < 1) | (off * F.signum(a) >= 0.1 - 2e-3)) & ((a == 0) | (F.abs(a) == 1) | (F.abs(F.abs(off) - 0.1) <= 2e-3))
+    return at.select("id", fine.alias("feasible"))
+
+
+def _optimal(solver: int):
+    """Whether the conditions of a minimum hold at each weight row that a smooth solver finds.
+
+    Losses' slopes and their sums over the rows are recomputed from weights and
+    features by plain column expressions, apart from the solver's code.
+    """
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        d = _dense(spark, sf_dir)
+        parameter = linear.Parameter(solver)
+        if solver in linear.PRIMAL:
+            model = linear.train_sparse(linear.as_sparse(d), parameter, 64, bias=1.0, tol=1e-8)
+        else:
+            model = linear.train(d, parameter, bias=1.0, tol=1e-9)
+        loss, penalty, _ = linear.SOLVERS[solver]
+        names = model.labels or [0]
+        w = spark.createDataFrame([(c, row.tolist()) for c, row in zip(names, model.w, strict=True)], "class int, w array<double>")
+        rows = d.select("label", F.array_append("features", F.lit(1.0)).alias("x")).join(F.broadcast(w), F.lit(True))
+        z = F.aggregate(F.zip_with("x", "w", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+        y = F.when(F.col("label") == F.col("class"), 1.0).otherwise(-1.0)
+        if loss == "logistic":
+            slope = -y / (1 + F.exp(y * z))
+        elif loss == "squared_hinge":
+            slope = -2 * y * F.greatest(1 - y * z, F.lit(0.0))
+        else:
+            off = z - F.col("label")
+            slope = 2 * F.signum(off) * F.greatest(F.abs(off) - parameter.p, F.lit(0.0))
+        sums = rows.select("class", F.posexplode(F.transform("x", lambda v: v * slope)).alias("k", "g")).groupBy("class", "k").agg(F.sum("g").alias("g"))
+        at = sums.join(w.select("class", F.posexplode("w").alias("k", "w")), ["class", "k"])
+        if penalty == "l2":
+            off = F.abs(F.col("w") + F.col("g"))
+        else:
+            off = F.when(F.col("w") != 0, F.abs(F.col("g") + F.signum("w"))).otherwise(F.greatest(F.abs("g") - 1, F.lit(0.0)))
+        return at.groupBy("class").agg(F.count("*").alias("weights"), (F.max(off) < 1e-3).alias("optimal"))
+
+    run.__name__ = f"y{solver}_linear"
+    run.__doc__ = f"The conditions of a minimum at the weights of linear solver {solver}, one row a class."
+    return run
 
 
 def _linear(solver: int):
@@ -410,7 +475,11 @@ def _linear(solver: int):
     return run
 
 
-for _k in (0, 1, 2, 3, 4, 5, 6, 7, 11, 12, 13):
+for _k in (0, 1, 2, 5, 6, 7):
+    query("SELECT DISTINCT label AS class, 65::BIGINT AS weights, true AS optimal FROM embeddings")(_optimal(_k))
+for _k in (11, 12):
+    query("SELECT 0 AS class, 65::BIGINT AS weights, true AS optimal")(_optimal(_k))
+for _k in (3, 4, 13):
     query()(_linear(_k))
 
 
@@ -421,17 +490,86 @@ def y23_cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.accuracy(out)
 
 
+@query("""WITH n AS (SELECT o_orderkey % 7 AS pass, o_totalprice / 1000 - 200 AS ld FROM orders)
+SELECT pass::INTEGER AS pass, round(greatest(0.0, max(ld)), 6) AS ld FROM n GROUP BY pass""")
+def a3_pass_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest dual value of a pass, at least 0, of values read off the orders."""
+    nodes = _table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice").select((F.col("o_orderkey") % 7).cast("int").alias("pass"), (F.col("o_totalprice") / 1000 - 200).alias("ld"))
+    return metrics.pass_value(nodes).select("pass", F.round("ld", 6).alias("ld"))
+
+
+@query(f"WITH {_hist('a', 'documents', 'doc_id')} SELECT tok AS idx, count(*) AS nnz FROM a GROUP BY tok")
+def a8_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = features.token_histogram(_table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+    return features.occupancy(h)
+
+
+_AP = f"""s AS (SELECT id, round(p, 6) AS p, (label = 0)::INTEGER AS y, ((row_number() OVER (ORDER BY {H.format(s=0).replace('doc_id', 'id')}, id) - 1) * 5 // count(*) OVER ())::INTEGER AS fold FROM prob JOIN e USING (id) WHERE model_id = 'c0.0'),
+r AS (SELECT fold, y, sum(y) OVER w AS tp, row_number() OVER w AS rank FROM s WINDOW w AS (PARTITION BY fold ORDER BY p DESC, id ROWS UNBOUNDED PRECEDING)),
+ap AS (SELECT fold, sum(CASE WHEN y = 1 THEN tp / rank END) / sum(y) AS ap FROM r GROUP BY fold)"""
+
+
+@query(f"WITH {KERNEL}, {_AP} SELECT round(avg(ap), 6) AS map FROM ap")
+def a9_mean_average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, p = _scored(spark, sf_dir)
+    rows = p.where("model_id = 'c0.0'").select("id", F.round("prob", 6).alias("prob")).join(_dense(spark, sf_dir).select("id", (F.col("label") == 0).cast("int").alias("label")), "id")
+    return metrics.mean_average_precision(partition.folds(rows, 5)).select(F.round("map", 6).alias("map"))
+
+
+_ITEMS = """r AS (SELECT l_orderkey * 8 + l_linenumber AS id, l_quantity / 50 AS a, l_extendedprice / 100000 AS b, l_discount AS c, l_tax AS d FROM lineitem),
+z AS (SELECT id, 0.5 * a - 0.25 * b + 2 * c - d + 0.1 * 2.0 AS z0, -a + b + c + d - 0.2 * 2.0 AS z1, 0.3 * a + 0.1 * c + 0.05 * 2.0 AS z2 FROM r)"""
+
+
+def _item_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    return li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.array(F.col("l_quantity") / 50, F.col("l_extendedprice") / 100000, "l_discount", "l_tax").alias("features"))
+
+
+def _item_model(solver: int) -> linear.Model:
+    return linear.Model(np.array([[0.5, -0.25, 2.0, -1.0, 0.1], [-1.0, 1.0, 1.0, 1.0, -0.2], [0.3, 0.0, 0.1, 0.0, 0.05]]), [7, 3, 5], solver, 2.0)
+
+
+@query(f"WITH {_ITEMS} SELECT id, CASE WHEN z0 >= z1 AND z0 >= z2 THEN 7 WHEN z1 >= z2 THEN 3 ELSE 5 END AS prediction FROM z")
+def y21_linear_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of all order lines under a given linear model of three classes with a bias feature of 2."""
+    return linear.predict(_item_rows(spark, sf_dir), _item_model(2)).select("id", "prediction")
+
+
+@query(f"""WITH {_ITEMS}, s AS (SELECT id, 1 / (1 + exp(-z0)) AS a, 1 / (1 + exp(-z1)) AS b, 1 / (1 + exp(-z2)) AS c FROM z)
+SELECT id, round(a / (a + b + c), 9) AS p0, round(b / (a + b + c), 9) AS p1, round(c / (a + b + c), 9) AS p2 FROM s""")
+def f11_linear_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalised sigmoids of the same model read as a logistic one."""
+    out = linear.predict(_item_rows(spark, sf_dir), _item_model(0), True)
+    return out.select("id", *[F.round(F.col("probabilities")[k], 9).alias(f"p{k}") for k in range(3)])
+
+
+@query("SELECT o_orderkey AS id, ((o_orderkey % 5)::INTEGER) AS block, row_number() OVER (ORDER BY o_orderkey % 5, o_orderkey) - 1 AS position FROM orders")
+def o4_row_bind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts bound in order of (block, row), without a gap in the block numbers."""
+    parts = _table(spark, sf_dir, "orders", "o_orderkey").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 5).cast("int").alias("block"))
+    return scoring.row_bind(parts, "block", "id").select("id", "block", F.col("position").cast("long").alias("position"))
+
+
+@query("""SELECT vec_id AS id, 1 AS concepts, true AS calibrated FROM embeddings""")
+def c9_cascade_to_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From multi-level training to probabilities: class 0 against the rest, calibrated, every embedding scored by the trained tables."""
+    d = _dense(spark, sf_dir).withColumn("label", F.when(F.col("label") == 0, 1).otherwise(-1))
+    model = cascade.fit(d, cascade.CascadeParameter(subsets=4, gamma=1.0, passes=2, probability=True))
+    models, sv = model.tables("c0.0", "c0")
+    prob = scoring.ensemble_mean(scoring.probabilities(scoring.tile_decisions(d, d, sv, models), models), models)
+    return prob.groupBy("id").agg(F.count("*").cast("int").alias("concepts"), F.min((F.col("prob") > 0) & (F.col("prob") < 1)).alias("calibrated"))
+
+
 @query(f"WITH {KERNEL} SELECT id, round(p, 6) AS prob FROM prob WHERE model_id = 'c0.0'")
 def x9_stream_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The machine c0.0 over the embeddings by the streaming scorer, all files at once."""
-    import tempfile
-
+    from ..sources.scratch import fresh_path
     from ..streaming import scorer
 
     d = _dense(spark, sf_dir)
     _, sv = _machines(spark, d)
     sv = sv.where("model_id = 'c0.0'").join(d.select(F.col("id").alias("sv_id"), "features"), "sv_id").select(F.col("sv_id").alias("id"), "features", "coef")
-    where = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marginforge-")).rstrip("/") + f"/stream-{tempfile.mktemp(dir='').strip('/')}"
+    where = fresh_path(spark, "stream")
     d.select("id", "features").write.parquet(f"{where}/in")
     q = scorer.start(spark, f"{where}/in", "id long, features array<double>", f"{where}/out", f"{where}/checkpoint", sv, 0.0, 1.0, prob_a=-2.0, prob_b=0.1)
     q.awaitTermination()

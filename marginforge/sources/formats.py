@@ -189,6 +189,110 @@ def read_dense_matrix(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("r", F.posexplode("x").alias("c", "t")).select("r", "c", F.col("t").cast("double").alias("v"))
 
 
+def read_kernel_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(n, ks array<double>) of "0:n 1:v 2:v ..." lines, with or without a label in front; the columns must be 1, 2, ..."""
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    t = F.filter(F.split(F.trim("value"), r"\s+"), lambda x: x.contains(":"))
+    cells = F.transform(t, lambda x: F.struct(F.substring_index(x, ":", 1).try_cast("int").alias("c"), F.substring_index(x, ":", -1).try_cast("double").alias("v")))
+    rows = lines.select("value", F.try_element_at(F.filter(cells, lambda z: z["c"] == 0), F.lit(1))["v"].cast("long").alias("n"), F.filter(cells, lambda z: z["c"] != 0).alias("z"))
+    ok = F.col("n").isNotNull() & F.forall(F.zip_with("z", F.sequence(F.lit(1), F.greatest(F.size("z"), F.lit(1))), lambda z, k: (z["c"] == k) | ((k == 1) & z.isNull())), lambda x: F.coalesce(x, F.lit(False))) & F.forall("z", lambda z: z["v"].isNotNull())
+    bad = rows.where(~F.coalesce(ok, F.lit(False))).select("value").head()
+    if bad is not None:
+        raise InvalidInput(f"{path}: {bad.value!r}")
+    return rows.select("n", F.col("z.v").alias("ks"))
+
+
+def chunk_files(spark: SparkSession, path: str, pattern: str) -> list[tuple[int, str]]:
+    """(number, path) of the files whose name matches ``pattern`` (one group: the number), in order; numbers must be 0..m-1."""
+    files = spark.read.format("binaryFile").load(path).select("path", F.regexp_extract(F.substring_index("path", "/", -1), pattern, 1).alias("k")).where("k <> ''")
+    found = sorted((int(r.k), r.path) for r in files.collect())
+    if [k for k, _ in found] != list(range(len(found))):
+        raise InvalidInput(f"{path}: chunks are not consecutive: {[k for k, _ in found]}")
+    return found
+
+
+def check_kernel_chunks(spark: SparkSession, path: str, columns: int) -> int:
+    """Number of kernel chunks; an error if their numbers have gaps or one but the last has another size."""
+    found = chunk_files(spark, path, r"-c(\d+)")
+    sizes = {r.path: r.length for r in spark.read.format("binaryFile").load(path).select("path", "length").collect()}
+    rows = [sizes[p] for _, p in found]
+    if any(n % (4 * columns) for n in rows) or len(set(rows[:-1])) > 1 or (len(rows) > 1 and rows[-1] > rows[0]):
+        raise InvalidInput(f"{path}: chunks of unequal size: {rows}")
+    return len(found)
+
+
+def kernel_chunk_bytes(kernel_rows: DataFrame, endian: str = ">") -> DataFrame:
+    """(block, content binary): dense float32 rows (block, r, ks) of each block, in order of r, as one chunk."""
+
+    def encode(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf.sort_values("r")
+        return pd.DataFrame({"block": own["block"].iloc[:1].astype("int32"), "content": [np.stack(own["ks"].to_numpy()).astype(f"{endian}f4").tobytes()]})
+
+    return kernel_rows.select("block", "r", "ks").groupBy("block").applyInPandas(encode, "block int, content binary")
+
+
+def feature_chunk_bytes(rows: DataFrame, chunk_rows: int) -> DataFrame:
+    """(chunk, content binary): sparse rows (id, idx, val) in order of id, ``chunk_rows`` a chunk, in the binary form of `read_feature_chunks`.
+
+    Rows are numbered from 0 in the chunks.
+    """
+    from ..operators.features import numbered
+
+    placed = numbered(rows.select("id", "idx", "val"), "id").withColumn("chunk", F.floor((F.col("rn") - 1) / chunk_rows).cast("int"))
+
+    def encode(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf.sort_values("rn")
+        return pd.DataFrame({"chunk": own["chunk"].iloc[:1], "content": [encode_feature_chunk(list(zip((own["rn"] - 1).tolist(), own["idx"], own["val"], strict=True)))]})
+
+    return placed.groupBy("chunk").applyInPandas(encode, "chunk int, content binary")
+
+
+def write_kernel_table(kernel_rows: DataFrame, path: str) -> None:
+    """(block, r, ks) as Parquet laid out by block."""
+    kernel_rows.select("block", "r", "ks").repartition("block").sortWithinPartitions("block", "r").write.partitionBy("block").parquet(path)
+
+
+def modality_blocks(modalities: list[DataFrame], rows: int) -> DataFrame:
+    """(block, m, r, idx, val) of several modalities (id, idx, val) of the same ids: blocks of ids, in each all rows of the first modality, then of the second, ..."""
+    from ..operators.features import numbered
+
+    ids = numbered(modalities[0].select("id").distinct(), "id")
+    place = ids.select("id", F.floor((F.col("rn") - 1) / rows).cast("int").alias("block"), ((F.col("rn") - 1) % rows).alias("_r"))
+    out = None
+    for k, df in enumerate(modalities):
+        part = df.join(place, "id").select("block", F.lit(k).alias("m"), (F.lit(k) * rows + F.col("_r")).alias("r"), "id", "idx", "val")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def label_features(features: DataFrame, ids: DataFrame) -> DataFrame:
+    """(rn, label, idx, val): features (n, idx, val) and ids (n, id) bound by running number; label 1 where the id is 1, else -1. Unequal lengths are an error."""
+    both = features.join(ids, "n", "full")
+    if both.where(F.col("id").isNull() | F.col("idx").isNull()).limit(1).count():
+        raise InvalidInput("features and ids have different rows")
+    return both.select(F.col("n").alias("rn"), F.when(F.col("id") == 1, 1).otherwise(-1).alias("label"), "idx", "val")
+
+
+def concatenated(ids: DataFrame, features: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """((n, key, idx, val), missing): features of the listed keys (pos, key) in order, numbered from 1; keys without features are left out and counted."""
+    from ..operators.features import numbered
+
+    joined = ids.join(features, key, "left")
+    missing = joined.where("idx is null").count()
+    return numbered(joined.where("idx is not null"), "pos", "n").select("n", key, "idx", "val"), missing
+
+
+def check_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(id, line, ok): whether each line is "label i:v ..." with ascending indexes from 1."""
+    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    t = F.split(F.trim("line"), r"\s+")
+    pairs = F.transform(F.slice(t, 2, 1 << 30), lambda x: F.split(x, ":"))
+    idx = F.transform(pairs, lambda p: F.try_element_at(p, F.lit(1)).try_cast("int"))
+    fine = F.forall(pairs, lambda p: (F.size(p) == 2) & F.coalesce(F.try_element_at(p, F.lit(1)).try_cast("int") >= 1, F.lit(False)) & F.try_element_at(p, F.lit(2)).try_cast("double").isNotNull())
+    ascending = F.array_sort(F.array_distinct(idx)) == idx
+    return rows.select("id", "line", F.coalesce(t[0].try_cast("double").isNotNull() & fine & ascending, F.lit(False)).alias("ok"))
+
+
 # -- model texts: small files, read and written by the driver through Spark's readers ----------------
 
 
@@ -260,6 +364,45 @@ def parse_linear_model(lines: list[str]):
     return Model(np.array(rows).T.copy(), [int(x) for x in head["label"]] if "label" in head else None, solver, bias)
 
 
+def parse_binary_linear_model(lines: list[str]) -> dict:
+    """A two-class linear machine's text: header keys, b, dim, then w and one weight a line; the decision is w . x + b."""
+    out: dict = {}
+    for n, line in enumerate(lines):
+        key, *rest = line.split() or [""]
+        if key == "w":
+            weights = [*rest, *(x.strip() for x in lines[n + 1 :] if x.strip())]
+            out["w"] = np.array([float(x) for x in weights])
+            if len(out["w"]) != out.get("dim", len(out["w"])):
+                raise InvalidInput(f"{len(out['w'])} weights where dim is {out['dim']}")
+            return out
+        if key in {"svm_type", "kernel_type"}:
+            out[key] = rest[0]
+        elif key in {"nr_class", "total_sv", "dim"}:
+            out[key] = int(rest[0])
+        elif key in {"b", "threshold_recall", "threshold_precision"}:
+            out[key] = float(rest[0])
+        elif key in {"rho", "probA", "probB"}:
+            out[key] = [float(x) for x in rest]
+        elif key in {"label", "nr_sv"}:
+            out[key] = [int(x) for x in rest]
+        else:
+            raise InvalidInput(f"unknown text in model file: {line!r}")
+    raise InvalidInput("a model file without weights")
+
+
+def format_binary_linear_model(model: dict) -> list[str]:
+    out = [f"svm_type {model.get('svm_type', 'c_svc')}", "kernel_type linear", "nr_class 2", f"dim {len(model['w'])}", f"b {model['b']:.17g}"]
+    out += [f"{k} " + " ".join(f"{x:.17g}" if isinstance(x, float) else str(x) for x in model[k]) for k in ("label", "probA", "probB") if k in model]
+    return [*out, "w", *(f"{x:.17g}" for x in model["w"])]
+
+
+def linear_machine_table(spark: SparkSession, model: dict, model_id: str) -> DataFrame:
+    """(model_id, w, b, prob_a, prob_b, label0, label1) of one two-class linear machine."""
+    a, b = model.get("probA", [None])[0], model.get("probB", [None])[0]
+    row = (model_id, [float(x) for x in model["w"]], float(model.get("b", 0.0)), a, b, *model.get("label", [1, -1])[:2])
+    return spark.createDataFrame([row], "model_id string, w array<double>, b double, prob_a double, prob_b double, label0 int, label1 int")
+
+
 def format_linear_model(model) -> list[str]:
     d = model.w.shape[1] - (model.bias >= 0)
     k = len(model.labels) if model.labels else 2

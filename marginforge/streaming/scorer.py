@@ -29,3 +29,20 @@ def start(spark: SparkSession, source: str, schema: str, out: str, checkpoint: s
 
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")).start()
+
+
+def score_ensemble(rows: DataFrame, vectors: DataFrame, sv: DataFrame, models: DataFrame) -> DataFrame:
+    """(id, concept, prob) of one batch: every machine's calibrated probability, averaged over the layers of its concept."""
+    decided = scoring.tile_decisions(rows, vectors, sv, models)
+    return scoring.ensemble_mean(scoring.probabilities(decided, models), models)
+
+
+def start_ensemble(spark: SparkSession, source: str, schema: str, out: str, checkpoint: str, vectors: DataFrame, sv: DataFrame, models: DataFrame, max_files: int = 16, clean: str = "off", available_now: bool = True):
+    """Start scoring Parquet files of ``source`` under a whole ensemble into ``out``; returns the query."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).option("cleanSource", clean).parquet(source)
+
+    def each(batch: DataFrame, number: int) -> None:
+        score_ensemble(batch, vectors, sv, models).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")).start()

@@ -10,6 +10,7 @@ from marginforge import cli
 from marginforge.operators import cascade, features, kernel_join, linear, machines, metrics, partition, scoring
 from marginforge.plans import registry
 from marginforge.sources import formats, tables
+from marginforge.streaming import scorer
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
@@ -171,6 +172,45 @@ def test_one_class_subset_passes_its_ids_up(spark):
     assert model.nodes[0]["n_sv"] == 10 and model.nodes[2]["ld"] > 0
 
 
+def test_calibrated_cascade_scores_end_to_end(spark, tmp_path):
+    x, y = gauss(60)
+    rows = spark.createDataFrame([(i, r.tolist(), int(v)) for i, (r, v) in enumerate(zip(x, y))], "id long, features array<double>, label int")
+    p = cascade.CascadeParameter(subsets=3, gamma=1.0, passes=2, tolerance=1e-4, probability=True)
+    model = cascade.fit(rows, p)
+    assert model.prob_a is not None and model.prob_a < 0
+    given = cascade.fit(rows.select("id", "label"), p, kernel=kernel_join.dense_kernel(rows, rows, "rbf"))
+    assert given.rho == pytest.approx(model.rho) and given.prob_a == pytest.approx(model.prob_a)
+    assert [n["ld"] for n in given.nodes] == pytest.approx([n["ld"] for n in model.nodes])
+    models, sv = model.tables("c.0", "c", 0)
+    more, sv2 = model.tables("c.1", "c", 1)
+    models, sv = models.union(more), sv.union(sv2)
+    prob = {r.id: r.prob for r in scorer.score_ensemble(rows, rows, sv, models).collect()}
+    assert np.mean([(prob[i] > 0.5) == (v > 0) for i, v in enumerate(y)]) > 0.85 and min(prob.values()) > 0
+    one = {r.id: r.decision for r in scoring.tile_decisions(rows, rows, sv, models).where("model_id = 'c.0'").collect()}
+    long = {r.id: r.decision for r in scoring.decisions(kernel_join.dense_kernel(rows, rows, "rbf"), sv, models).where("model_id = 'c.0'").collect()}
+    assert one == pytest.approx(long)
+    rows.select("id", "features").write.parquet(str(tmp_path / "in"))
+    q = scorer.start_ensemble(spark, str(tmp_path / "in"), "id long, features array<double>", str(tmp_path / "out"), str(tmp_path / "ck"), rows, sv, models)
+    q.awaitTermination()
+    assert {r.id: r.prob for r in spark.read.parquet(str(tmp_path / "out")).collect()} == pytest.approx(prob)
+    tables.write_machines(models, sv, str(tmp_path / "m"))
+    rows.select("id", "features").write.parquet(str(tmp_path / "v"))
+    cli.score(spark, [str(tmp_path / "v"), str(tmp_path / "v"), str(tmp_path / "m"), str(tmp_path / "s")])
+    assert {r.id: r.prob for r in spark.read.parquet(str(tmp_path / "s")).collect()} == pytest.approx(prob)
+    cli.kernel(spark, ["-t", "linear", str(tmp_path / "v"), str(tmp_path / "v"), str(tmp_path / "k")])
+    cli.fuse(spark, [str(tmp_path / "f"), str(tmp_path / "k"), str(tmp_path / "k")])
+    assert spark.read.parquet(str(tmp_path / "f")).where("i = 3 and j = 5").head().k == pytest.approx(float(x[3] @ x[5]))
+
+
+def test_cascade_bounds_and_first_layer(spark):
+    x, y = gauss(40)
+    rows = spark.createDataFrame([(i, r.tolist(), int(v)) for i, (r, v) in enumerate(zip(x, y))], "id long, features array<double>, label int")
+    with pytest.raises(ValueError, match="more than 10"):
+        cascade.fit(rows, cascade.CascadeParameter(subsets=2, gamma=1.0, most_rows=10))
+    model = cascade.fit(rows, cascade.CascadeParameter(subsets=2, gamma=1.0, passes=4, criterion="first_layer"))
+    assert model.nodes[0]["layer"] == 0 and {n["pass"] for n in model.nodes} <= {1, 2, 3, 4}
+
+
 def test_cascade_parameters():
     p = cascade.CascadeParameter()
     assert (p.subsets, p.cost, p.gamma, p.epsilon, p.passes) == (8, 1.0, 1e-3, 1e-3, 5)
@@ -271,6 +311,64 @@ def test_one_vs_rest_and_cross_validation(spark):
     assert got.count() == 120 and metrics.accuracy(got).head()[0] > 0.95
 
 
+def sparse_frame(spark, rows, y, kind="int"):
+    return spark.createDataFrame([(k, v, sorted(r), [float(r[j]) for j in sorted(r)]) for k, (r, v) in enumerate(zip(rows, y))], f"id long, label {kind}, idx array<int>, val array<double>")
+
+
+def test_sparse_solvers_are_stationary(spark):
+    """10^5 features: the gradient of the penalised cost is 0 (L2), or within the penalty (L1)."""
+    rng, n = np.random.default_rng(3), 100_000
+    rows = [{int(j): float(v) for j, v in zip(rng.integers(1, n + 1, 12), rng.normal(size=12))} for _ in range(120)]
+    rows[5] = {}
+    y = np.where(rng.random(120) < 0.5, 1, -1)
+    for r, v in zip(rows, y):
+        r |= {1: float(v) + rng.normal() * 0.5, n: 0.3}
+    df = sparse_frame(spark, rows, y.tolist())
+    sign = y * y[0]  # the first class is the positive one
+
+    def cost(w, loss, target, c=0.5):
+        z = np.array([sum(v * w[j - 1] for j, v in r.items()) + 2.0 * w[n] for r in rows])
+        f, g, _ = L.loss_parts(loss, z, target)
+        grad = np.zeros(n + 1)
+        for r, s in zip(rows, g):
+            for j, v in r.items():
+                grad[j - 1] += c * s * v
+            grad[n] += c * s * 2.0
+        return c * f.sum(), grad
+
+    for solver, loss in ((0, "logistic"), (1, "squared_hinge")):
+        m = linear.train_sparse(df, linear.Parameter(solver, 0.5), n, bias=2.0, tol=1e-7)
+        assert m.w.shape == (1, n + 1) and m.labels == [int(y[0]), -int(y[0])]
+        assert np.abs(m.w[0] + cost(m.w[0], loss, sign)[1]).max() < 1e-5
+    got = linear.predict(df, m).collect()
+    assert np.mean([r.label == r.prediction for r in got]) > 0.9
+    m = linear.train_sparse(df, linear.Parameter(6, 0.5), n, bias=2.0, tol=1e-5)
+    g = cost(m.w[0], "logistic", sign)[1]
+    assert np.abs(g[m.w[0] == 0]).max() <= 1 + 1e-2 and np.abs(g + np.sign(m.w[0]))[m.w[0] != 0].max() < 1e-2
+    z = rng.normal(size=120)
+    m = linear.train_sparse(sparse_frame(spark, rows, z.tolist(), "double"), linear.Parameter(11, 0.5), n, bias=2.0, tol=1e-7)
+    assert np.abs(m.w[0] + cost(m.w[0], "squared_tube", z)[1]).max() < 1e-5
+
+
+def test_sparse_equals_dense(spark):
+    x, y = gauss(60)
+    df = frame(spark, x, y.astype(int))
+    for solver in (0, 2, 11):
+        own = df if solver < 11 else df.withColumn("label", F.col("label").cast("double"))
+        a = linear.train(own, linear.Parameter(solver, 0.5, 1e-8), 1.0)
+        b = linear.train_sparse(linear.as_sparse(own), linear.Parameter(solver, 0.5, 1e-8), 2, 1.0, tol=1e-10)
+        assert np.abs(a.w - b.w).max() < 1e-5
+    assert [r.prediction for r in linear.predict(own, a).orderBy("id").collect()] == pytest.approx([r.prediction for r in linear.predict(linear.as_sparse(own), b).orderBy("id").collect()], abs=1e-4)
+
+
+def test_oversize_problem(spark):
+    with pytest.raises(ValueError, match="number of classes.*too large"):
+        linear._sized(1000, 20_000_000)
+    df = spark.range(1000).select("id", F.col("id").cast("int").alias("label"), F.array(F.lit(20_000_000)).alias("idx"), F.array(F.lit(1.0)).alias("val"))
+    with pytest.raises(ValueError, match="too large"):
+        linear.train_sparse(df, linear.Parameter(2), 20_000_000)
+
+
 def test_parameters():
     assert linear.Parameter(0).eps == 0.01 and linear.Parameter(1).eps == 0.1 and linear.Parameter(11).eps == 0.001
     for bad in ({"C": 0}, {"C": -1}, {"eps": 0}, {"solver": 9}, {"p": -1}):
@@ -348,6 +446,61 @@ def test_binary_chunks(spark, tmp_path):
     assert [r.value for r in formats.kernel_lines(rows, ["block", "r"], -1).orderBy("n").collect()] == ["0:1 1:-1.0", "0:2 1:-3.0"]
 
 
+def test_kernel_lines_and_chunks(spark, tmp_path):
+    rows = spark.createDataFrame([(0, 0, [1.0, 2.0]), (0, 1, [3.0, 4.0]), (1, 0, [5.0, 6.0])], "block int, r long, ks array<double>")
+    formats.kernel_lines(rows, ["block", "r"]).orderBy("n").select("value").coalesce(1).write.text(str(tmp_path / "k"))
+    assert [(r.n, r.ks) for r in formats.read_kernel_lines(spark, str(tmp_path / "k")).orderBy("n").collect()] == [(1, [1, 2]), (2, [3, 4]), (3, [5, 6])]
+    assert formats.read_kernel_lines(spark, put(tmp_path, "1 0:7 1:0.5 2:1\n", "lab")).head() == (7, [0.5, 1.0])
+    for bad in ("0:1 2:3\n", "1:2 2:3\n", "0:1 1:x\n"):
+        with pytest.raises(formats.InvalidInput):
+            formats.read_kernel_lines(spark, put(tmp_path, bad, "bad"))
+    folder = tmp_path / "chunks"
+    folder.mkdir()
+    for r in formats.kernel_chunk_bytes(rows).collect():
+        (folder / f"x-c{r.block}-2").write_bytes(bytes(r.content))
+    assert formats.check_kernel_chunks(spark, str(folder), 2) == 2
+    assert sorted((r.block, r.r, r.ks) for r in formats.read_kernel_chunks(spark, str(folder), 2).collect()) == [(0, 0, [1, 2]), (0, 1, [3, 4]), (1, 0, [5, 6])]
+    (folder / "x-c3-2").write_bytes(b"12345678")
+    with pytest.raises(formats.InvalidInput):
+        formats.check_kernel_chunks(spark, str(folder), 2)
+    formats.write_kernel_table(rows, str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).where("block = 1").head().ks == [5, 6]
+
+
+def test_feature_writers(spark, tmp_path):
+    rows = spark.createDataFrame([(9, [0, 3], [0.5, 1.0]), (4, [1], [2.0]), (30, [], [])], "id long, idx array<int>, val array<float>")
+    folder = tmp_path / "feat"
+    folder.mkdir()
+    for r in formats.feature_chunk_bytes(rows, 2).collect():
+        (folder / f"f-inpart{r.chunk}-2").write_bytes(bytes(r.content))
+    assert [k for k, _ in formats.chunk_files(spark, str(folder), r"inpart(\d+)")] == [0, 1]
+    got = sorted((r.id, list(r.idx), list(r.val)) for r in formats.read_feature_chunks(spark, str(folder)).collect())
+    assert got == [(0, [1], [2.0]), (1, [0, 3], [0.5, 1.0]), (2, [], [])]
+    both = formats.modality_blocks([rows, rows.where("id < 20")], 2).orderBy("block", "r").collect()
+    assert [(r.block, r.m, r.r, r.id) for r in both] == [(0, 0, 0, 4), (0, 0, 1, 9), (0, 1, 2, 4), (0, 1, 3, 9), (1, 0, 0, 30)]
+    f = spark.createDataFrame([(1, [1], [1.0]), (2, [2], [2.0])], "n long, idx array<int>, val array<double>")
+    ids = spark.createDataFrame([(1, 1), (2, 5)], "n long, id long")
+    assert [(r.rn, r.label) for r in formats.label_features(f, ids).orderBy("rn").collect()] == [(1, 1), (2, -1)]
+    with pytest.raises(formats.InvalidInput):
+        formats.label_features(f, ids.limit(1))
+    listed = spark.createDataFrame([(0, 30), (1, 77), (2, 4)], "pos long, id long")
+    out, missing = formats.concatenated(listed, rows, "id")
+    assert missing == 1 and [(r.n, r.id) for r in out.orderBy("n").collect()] == [(1, 30), (2, 4)]
+    lines = formats.check_lines(spark, put(tmp_path, "1 1:1 3:2\n2\n1 3:1 2:1\n1 0:1\nx 1:1\n1 2:\n", "lines"))
+    assert [r.ok for r in lines.orderBy("id").collect()] == [True, True, False, False, False, False]
+
+
+def test_binary_linear_model(spark):
+    m = {"w": np.array([0.5, -1.25, 0.0]), "b": 0.75, "label": [1, -1], "probA": [-2.0], "probB": [0.25]}
+    again = formats.parse_binary_linear_model(formats.format_binary_linear_model(m))
+    assert again["w"].tolist() == m["w"].tolist() and (again["b"], again["probA"], again["dim"]) == (0.75, [-2.0], 3)
+    rows = spark.createDataFrame([(1, [2.0, 1.0, 9.0])], "id long, features array<double>")
+    assert scoring.linear_scores(rows, formats.linear_machine_table(spark, again, "u").select("model_id", "w", "b")).head().decision == 0.5
+    for bad in (["dim 2", "w", "1"], ["what 3", "w"], ["b 1"]):
+        with pytest.raises(formats.InvalidInput):
+            formats.parse_binary_linear_model(bad)
+
+
 def test_arff(spark, tmp_path):
     df, classes = formats.read_arff(spark, put(tmp_path, "@relation r\n@attribute a numeric\n@attribute class {x, y}\n@data\n1,2,x\n3,4,y\n"))
     assert classes == ["x", "y"] and [(r.features, r.label) for r in df.orderBy("id").collect()] == [([1, 2], "x"), ([3, 4], "y")]
@@ -396,6 +549,30 @@ def test_one_class_regression_and_grid(spark):
     assert len(grid) == 4 and all(0.7 < r.map <= 1 for r in grid)
 
 
+def test_class_probabilities_and_noise(spark):
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(c, 0.5, (20, 2)) for c in ([0, 0], [3, 0], [0, 3])])
+    labels = np.repeat([4, 1, 9], 20)
+    df = frame(spark, x, labels)
+    got = {r.id: r for r in machines.probabilities(df, machines.one_vs_one(df, kernel=("rbf", 0.5), probability=True), df).collect()}
+    K = kernels.standard("rbf", 0.5)(x, x)
+    want = smo.one_vs_one(K, labels, 1.0, probability=True).probabilities(K)
+    assert list(got[0].classes) == [4, 1, 9] and max(abs(got[i].probs[k] - want[i, k]) for i in got for k in range(3)) < 1e-6
+    t = np.linspace(0, 6, 60)
+    reg = frame(spark, t[:, None], np.sin(t) + rng.normal(scale=0.2, size=60), "double")
+    assert 0.05 < machines.regression_noise(reg, 3, C=10.0).head()[0] < 0.5
+
+
+def test_fusion_in_one_pass(spark):
+    a = spark.createDataFrame([(1, "x", 0.5), (1, "y", 0.5), (2, "x", 1.0)], "id long, idx string, val double")
+    b = spark.createDataFrame([(7, "x", 0.25), (7, "z", 0.75)], "id long, idx string, val double")
+    ids, other = spark.createDataFrame([(1,), (2,), (3,)], "id long"), spark.createDataFrame([(7,)], "id long")
+    for digits in (None, 15):
+        one = kernel_join.fused_sparse([(a, b), (b.union(a), a)], ids, other, "chi2", [0.25, 0.75], digits)
+        two = kernel_join.fused([kernel_join.sparse_kernel(a, ids, b, other, "chi2"), kernel_join.sparse_kernel(b.union(a), ids, a, other, "chi2")], [0.25, 0.75])
+        assert {(r.i, r.j): r.k for r in one.collect()} == pytest.approx({(r.i, r.j): r.k for r in two.collect()})
+
+
 def test_gaussians(spark):
     got = machines.gaussians(spark, 400).groupBy("label").agg(F.avg(F.col("features")[1]).alias("m"), F.count("*").alias("n")).collect()
     assert {r.label: (round(r.m), r.n) for r in got} == {1: (3, 400), -1: (7, 400)}
