@@ -358,14 +358,27 @@ def crowded(run: DataFrame, heads: DataFrame, docs: DataFrame, words: int, perce
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(h) for h in got], pa.int64()), pa.array([sketch(h, 4, 8 * FULL).tobytes() for h in got], pa.binary())], ["x", "n", "bits"])
         released()
 
-    bits = docs.select(F.col("doc_id").alias("x"), "text").where("text is not null").join(lists.select("x"), "x", "left_semi").mapInArrow(work, "x long, n long, bits binary").distinct()
-    full = written(rows.join(lists, "x").join(bits.where("n > 0"), "x"), "crowd")
-    blocks = full.groupBy("h").agg(F.ceil(F.sum(F.length("bits") + 64) / BLOCK_BYTES).alias("k"))
-    placed = full.join(blocks, "h").withColumn("block", F.pmod(F.xxhash64("x"), "k"))
+    ids = written(rows.select("x").distinct(), "crowd")
+    some = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    bits = docs.select(F.col("doc_id").alias("x"), "text").where("text is not null").join(some, "x", "left_semi").mapInArrow(work, "x long, n long, bits binary").where("n > 0")
+    bits = bits.groupBy("x").agg(F.collect_set(F.struct("n", "bits")).alias("b")).select("x", F.explode("b").alias("b")).select("x", "b.n", "b.bits")
+    full = written(rows.join(lists, "x").join(bits, "x"), "crowd")
+    blocks = written(full.groupBy("h").agg(F.ceil(F.sum(F.length("bits") + 64) / BLOCK_BYTES).alias("k")), "crowd")
+    counts = F.broadcast(blocks) if blocks.count() <= BROADCAST_ROWS else blocks
     cells = ["x", "c", "away", "n", "hs", "bits"]
-    packed = lambda df, side: df.groupBy("h", F.col("block").alias(f"b{side}")).agg(F.collect_list(F.struct(*cells)).alias(side))
-    pairs = packed(placed.where("away"), "l").join(packed(placed, "r"), "h")
-    pairs = pairs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h", "bl", "br").select("h", "l", "r")
+    placed = full.join(counts, "h").withColumn("block", F.pmod(F.xxhash64("x"), "k"))
+    # A row goes once to each pair of blocks that it is in, on the left, on the right or on both sides.
+    at, others = F.col("block"), F.filter(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda o: o != F.col("block"))
+    met = lambda bl, br, left, right: F.struct(bl.alias("bl"), br.alias("br"), left.alias("left"), right.alias("right"))
+    meetings = F.concat(
+        F.array(met(at, at, F.col("away"), F.lit(True))),
+        F.transform(others, lambda o: met(o, at, F.lit(False), F.lit(True))),
+        F.transform(F.filter(others, lambda o: F.col("away")), lambda o: met(at, o, F.lit(True), F.lit(False))),
+    )
+    row = F.struct(*cells, F.col("m.left").alias("left"), F.col("m.right").alias("right")).alias("row")
+    pairs = placed.withColumn("m", F.explode(meetings)).select("h", "m.bl", "m.br", row)
+    # Dealt by pair of blocks, never by head alone, so that a large run is many tasks' work.
+    pairs = pairs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h", "bl", "br").groupBy("h", "bl", "br").agg(F.collect_list("row").alias("rows")).select("h", "rows")
 
     def columns(cell) -> dict:
         got = {c: [r[c] for r in cell] for c in cells}
@@ -374,12 +387,16 @@ def crowded(run: DataFrame, heads: DataFrame, docs: DataFrame, words: int, perce
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                h, x = _tile(b.column(0)[k].as_py(), columns(b.column(1)[k].as_py()), columns(b.column(2)[k].as_py()), percent)
+                got = b.column(1)[k].as_py()
+                left = [r for r in got if r["left"]]
+                if not left:
+                    continue
+                h, x = _tile(b.column(0)[k].as_py(), columns(left), columns([r for r in got if r["right"]]), percent)
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(x)], ["h", "x"])
         released()
 
     out = written(pairs.mapInArrow(meet, "h long, x long").distinct(), "crowd")
-    dropped(rows, full)
+    dropped(rows, full, blocks, ids)
     return out
 
 
