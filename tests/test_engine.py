@@ -57,6 +57,32 @@ def test_user_kernel(spark):
     assert abs(got[1, 2] - 0.96) < 1e-12
 
 
+def test_dense_pairs_are_never_shuffled(spark):
+    x = np.random.default_rng(0).random((90, 5))
+    d = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, features array<double>")
+    ids = d.where("id % 3 = 0").select("id")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    for df in (kernel_join.dense_kernel(d, d, "linear", squares=True), kernel_join.kernel_rows(d, d, "rbf"), kernel_join.projected(d, ids, "rbf")):
+        top, met, _ = plan(df).partition("Join Cross")
+        assert met and "MapInPandas" in top and not any(w in top for w in ("Repartition", "Aggregate", "Join"))
+    got = kernel_join.dense_kernel(d, d, "linear", squares=True).where("i = 4 and j = 9").head()
+    assert (got.k, got.qa, got.qb) == pytest.approx((x[4] @ x[9], x[4] @ x[4], x[9] @ x[9]))
+    assert {(r.i, r.j) for r in kernel_join.projected(d, ids, "rbf").collect()} == {(i, j) for i in range(0, 90, 3) for j in range(0, 90, 3)}
+
+
+def test_kernel_rows_of_many_blocks_and_shared_ids(spark, monkeypatch):
+    x = np.random.default_rng(1).random((1100, 3))
+    names = [min(i, 1097) for i in range(1100)]  # three rows share the last id
+    d = spark.createDataFrame([(i, r.tolist()) for i, r in zip(names, x)], "id long, features array<double>")
+    monkeypatch.setattr(kernel_join, "ROW_BYTES", 1 << 20)
+    monkeypatch.setattr(kernel_join, "PART_BLOCKS", 1)
+    new = {r.i: (r.js, r.ks) for r in kernel_join.kernel_rows(d, d, "linear").collect()}
+    old = {r.i: (r.js, r.ks) for r in kernel_join.rows_of(kernel_join.dense_kernel(d, d, "linear")).collect()}
+    assert len(new) == 1098 and len(new[1097][0]) == 3300
+    for i in (0, 500, 1096, 1097):
+        assert new[i][0] == old[i][0] and new[i][1] == pytest.approx(old[i][1])
+
+
 def test_sigmoid_extremes(spark):
     r = spark.range(1).select(kernels.sigmoid(F.lit(1000.0), 1.0, 0.0).alias("a"), kernels.sigmoid(F.lit(-1000.0), 1.0, 0.0).alias("b")).head()
     assert r.a == 0 and r.b == 1
