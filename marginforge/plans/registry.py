@@ -138,7 +138,7 @@ def p1_kernel_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K[ids, ids] for the labelled ids, exponentiated."""
     d = _dense(spark, sf_dir)
     ids = d.select("id").join(_table(spark, sf_dir, "labels", "doc_id"), F.col("id") == F.col("doc_id"), "left_semi")
-    k = kernel_join.project(kernel_join.dense_kernel(d, d, "rbf"), ids)
+    k = kernel_join.projected(d, ids, "rbf")
     return k.select("i", "j", F.round(kernels.training_value(F.col("k"), 0.5), 6).alias("k"))
 
 
