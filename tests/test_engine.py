@@ -1,6 +1,7 @@
 """The engine's operators: SQL oracles, optimality of solvers, format round trips."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,6 +153,46 @@ def test_one_class_and_regression():
     assert abs(n.alpha.sum()) < 1e-9 and np.abs(K @ n.alpha - n.rho - z).max() < 0.1
 
 
+def test_working_sets_reach_the_same_minimum(monkeypatch):
+    x, y = gauss()
+    z = np.sin(x[:, 0])
+    monkeypatch.setattr(smo, "FULL", 100)
+    monkeypatch.setattr(smo, "WORKING", 32)
+    monkeypatch.setattr(smo, "BLOCK", 500)
+    f = kernels.standard("rbf", 0.3)
+    held, lazy = f(x, x), smo.gram(f, x)
+    assert isinstance(lazy, smo.Gram) and len(lazy) == 240 and isinstance(smo.gram(f, x[:100]), np.ndarray)
+    c = np.where(y > 0, 2.0, 0.5)
+    for how in (lambda K: smo.c_svc(K, y, c, 1e-6), lambda K: smo.nu_svc(K, y, 0.3, 1e-6), lambda K: smo.one_class(K, 0.2, 1e-6), lambda K: smo.epsilon_svr(K, z, 3.0, 0.05, 1e-6)):
+        one, two = how(held), how(lazy)
+        assert two.gap < 1e-6 and two.objective == pytest.approx(one.objective, abs=1e-4, rel=1e-6) and two.rho == pytest.approx(one.rho, abs=1e-4)
+    assert np.abs(smo.cross_decisions(held, y, 1.0, 5, 1e-6) - smo.cross_decisions(lazy, y, 1.0, 5, 1e-6)).max() < 1e-3
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    """21,000 rows, more than a kernel matrix in one worker was allowed, in two clouds."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(21_000, 2)) + np.repeat([[0.0, 0.0], [12.0, 0.0]], 10_500, axis=0)
+    rows = spark.createDataFrame(pd.DataFrame({"id": np.arange(21_000), "features": list(x.tolist()), "label": np.repeat([1, -1], 10_500)}), "id long, features array<double>, label int")
+    return rows.repartition(4).persist()
+
+
+def test_machines_of_many_rows(spark, many):
+    m = machines.one_class(many, 0.002, ("rbf", 0.01))
+    total, least, most = m.support.agg(F.sum("coef"), F.min("coef"), F.max("coef")).head()
+    assert total == pytest.approx(42) and 0 <= least and most <= 1
+    assert abs(machines.decide(many, m, many).where("decision < -1e-3").count() - 42) < 15
+    pair = machines.one_vs_one(many, kernel=("linear",), probability=True)
+    got = machines.predict(many, pair, many).join(many, "id")
+    assert got.count() == 21_000 and got.where("prediction <> label").isEmpty()
+    p = machines.probabilities(many, pair, many).select(F.col("probs")[0].alias("p")).agg(F.min("p"), F.max("p")).head()
+    assert p[0] < 0.1 and p[1] > 0.9
+    m = machines.regression(many, p=0.5, kernel=("linear",))
+    off = machines.decide(many, m, many).join(many, "id").join(m.support.select("id", "coef"), "id", "left").where("abs(label - decision) > 0.502 and coalesce(abs(coef), 0) < 1")
+    assert off.isEmpty()
+
+
 def test_platt_and_coupling():
     rng = np.random.default_rng(1)
     f = rng.normal(size=4000)
