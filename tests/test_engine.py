@@ -193,6 +193,15 @@ def test_machines_of_many_rows(spark, many):
     assert off.isEmpty()
 
 
+def test_cascade_of_large_nodes(spark, many):
+    model = cascade.fit(many, cascade.CascadeParameter(subsets=1, passes=1, gamma=0.01, probability=True))
+    node = model.nodes[0]
+    assert node["n_rows"] == 21_000 and node["gap"] < 1e-3 and node["ld"] > 0 and model.prob_a < 0
+    sv = model.support.join(many, "id").select("id", "features", "coef")
+    f = scoring.dense_decisions(many, sv, model.rho, 0.01).join(many, "id")
+    assert f.where("decision * label <= 0").isEmpty()
+
+
 def test_platt_and_coupling():
     rng = np.random.default_rng(1)
     f = rng.normal(size=4000)
