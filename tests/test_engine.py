@@ -193,6 +193,30 @@ def test_machines_of_many_rows(spark, many):
     assert off.isEmpty()
 
 
+def test_lazy_rbf_values_are_one_product_and_one_exp():
+    x, _ = gauss()
+    f = kernels.standard("rbf", 0.3)
+    lazy, rows = smo.Gram(f, x), np.arange(5, 50)
+    assert lazy.sides is not None and np.abs(lazy.values(rows, rows) - f(x[rows], x[rows])).max() < 1e-12
+    assert np.abs(f.quick(x, x[:7]) - f(x, x[:7])).max() < 1e-12
+    far = np.concatenate([x * 1e6, x * 1e6 + 1e-3])  # products of these lose what tells them apart
+    assert smo.Gram(f, far).sides is None and (f.quick(far, far) == f(far, far)).all()
+
+
+def test_folds_of_a_large_problem_are_tasks_of_their_own(spark, monkeypatch):
+    x, y = gauss()
+    rows = spark.createDataFrame([(k, v.tolist(), int(t)) for k, (v, t) in enumerate(zip(x, y))], "id long, features array<double>, label int")
+    seen = []
+    real = machines.calibrated
+    monkeypatch.setattr(machines, "calibrated", lambda d, key: seen.append(key) or real(d, key))
+    whole = machines.one_vs_one(rows, kernel=("rbf", 0.3), probability=True).support.orderBy("id").toPandas()
+    assert not seen
+    monkeypatch.setattr(smo, "FULL", 100)
+    apart = machines.one_vs_one(rows, kernel=("rbf", 0.3), probability=True).support.orderBy("id").toPandas()
+    assert seen == ["problem"]
+    pd.testing.assert_frame_equal(whole, apart)
+
+
 def test_cascade_of_large_nodes(spark, many):
     model = cascade.fit(many, cascade.CascadeParameter(subsets=1, passes=1, gamma=0.01, probability=True))
     node = model.nodes[0]
