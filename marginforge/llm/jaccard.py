@@ -20,7 +20,8 @@ others might link with the rest of the run. If they are few (at most FEW), they
 paired with the run; if they are many (a large group of texts all just under the
 similarity), no pairs are made: packed into blocks with long sketches they meet the
 run's blocks, and only pairs that the sketches cannot tell from linked ones come out
-and are verified. So no link between different components is lost, and rows grow
+and are verified: first with the sketches that are known, and with longer ones of the
+texts only where those leave too many. A run of two holds no other pair. So no link between different components is lost, and rows grow
 with the runs, not with their squares.
 Before texts are read, sizes and parity sketches rule pairs out: two sketches differ
 in no more bits than the sets differ in shingles, so nothing that links is lost.
@@ -262,9 +263,9 @@ def _signature_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
 def candidates(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(h, x, me, ma): the first member of every run of equal signatures with each other member.
 
-    ``ma`` has a bit for each run that x shares with h (of 64, by signature), ``me``
-    for those where x is there undeleted: two members of h's runs can only be
-    candidates if one's ``me`` meets the other's ``ma``.
+    ``ma`` has a bit for each run of three or more that x shares with h (of 64, by
+    signature), ``me`` for those where x is there undeleted: two members of h's runs
+    can only be candidates if one's ``me`` meets the other's ``ma``.
     """
     rows = _signature_rows(docs, words, percent)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -295,7 +296,13 @@ def candidates(docs: DataFrame, words: int, percent: int) -> DataFrame:
             if not ok.any():
                 continue
             h, x, exact = pairs_h[ok], ids[ok], flag[ok] < 2
-            mark = np.left_shift(np.int64(1), sig[ok] & 63)
+            # A run of the head and one other holds no pair but that one; runs that reach over a batch may hold more.
+            lo, hi = np.full(len(starts) + 1, np.iinfo(np.int64).max), np.full(len(starts) + 1, np.iinfo(np.int64).min)
+            np.minimum.at(lo, run[ok], ids[ok])  # a carried run is the last cell
+            np.maximum.at(hi, run[ok], ids[ok])
+            wide = lo < hi
+            wide[-2:] = True
+            mark = np.where(wide[run[ok]], np.left_shift(np.int64(1), sig[ok] & 63), 0)
             order = np.lexsort((x, h))
             h, x, mark, exact = h[order], x[order], mark[order], exact[order]
             first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (x[1:] != x[:-1])))
@@ -342,30 +349,38 @@ def _tile(h: int, left: dict, right: dict, percent: int) -> tuple[np.ndarray, np
     return np.minimum(x, y), np.maximum(x, y)
 
 
-def crowded(run: DataFrame, heads: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(h, x): pairs within the runs of these heads that may link, from (h, x, ch, cx), by blocks of sketches.
-
-    Every two members of different components of a run meet in one pair of blocks;
-    what leaves a task is what long sketches (at least 16 cells a shingle) do not tell apart.
-    """
-    rows = written(run.join(heads.select("h"), "h").select("h", "x", F.col("cx").alias("c"), (F.col("cx") != F.col("ch")).alias("away")), "crowd")
-    lists = rows.groupBy("x").agg(F.collect_set("h").alias("hs"))
+def _looked(h: int, left: dict, right: dict, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """`_tile` of rows that carry the runs they share with the head; a pair of each row and as many as FEW at most, else (h, None)."""
+    bits, length = [np.frombuffer(x, np.int64) for x in right["bits"]], np.array([len(x) for x in right["bits"]]) // 8
+    groups = {w: np.flatnonzero(length == w) for w in np.unique(length).tolist()}
+    stacked = {w: np.stack([bits[k] for k in rows]) for w, rows in groups.items()}
+    folded: dict[tuple[int, int], np.ndarray] = {}
+    out, made, most = ([], []), 0, FEW * (len(left["x"]) + len(right["x"]))
+    for x, c, n, me, ma, raw in zip(left["x"], left["c"], left["n"], left["me"], left["ma"], left["bits"], strict=True):
+        able = (right["c"] != c) & ((right["ma"] & me | right["me"] & ma) != 0) & (~right["away"] | (right["x"] > x))
+        able &= 100 * np.minimum(right["n"], n) >= percent * np.maximum(right["n"], n)
+        own = np.frombuffer(raw, np.int64)
+        for w, rows in groups.items():
+            at, v = np.flatnonzero(able[rows]), min(len(own), w)
+            if not len(at):
+                continue
+            if (w, v) not in folded:
+                folded[w, v] = np.bitwise_xor.reduce(stacked[w].reshape(len(rows), -1, v), axis=1)
+            apart = np.bitwise_count((folded[w, v][at] ^ fold(own, v)).view(np.uint64)).sum(axis=1, dtype=np.int64)
+            at = at[apart * (100 + percent) <= (right["n"][rows[at]] + n) * (100 - percent)]
+            out[0].append(np.full(len(at), x))
+            out[1].append(right["x"][rows[at]])
+            made += len(at)
+        if made > most:
+            return np.array([h]), None
+    x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in out)
+    return np.minimum(x, y), np.maximum(x, y)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
-        for b in batches:
-            got = [shingler(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(h) for h in got], pa.int64()), pa.array([sketch(h, 4, 8 * FULL).tobytes() for h in got], pa.binary())], ["x", "n", "bits"])
-        released()
 
-    ids = written(rows.select("x").distinct(), "crowd")
-    some = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    bits = docs.select(F.col("doc_id").alias("x"), "text").where("text is not null").join(some, "x", "left_semi").mapInArrow(work, "x long, n long, bits binary").where("n > 0")
-    bits = bits.groupBy("x").agg(F.collect_set(F.struct("n", "bits")).alias("b")).select("x", F.explode("b").alias("b")).select("x", "b.n", "b.bits")
-    full = written(rows.join(lists, "x").join(bits, "x"), "crowd")
-    blocks = written(full.groupBy("h").agg(F.ceil(F.sum(F.length("bits") + 64) / BLOCK_BYTES).alias("k")), "crowd")
+def _in_blocks(full: DataFrame, cells: list[str], tile, percent: int, block_bytes: int) -> DataFrame:
+    """(h, x) that ``tile`` finds: every two rows of a head, one of them away, meet in one pair of blocks; x is null where it finds too many."""
+    blocks = written(full.groupBy("h").agg(F.ceil(F.sum(F.length("bits") + 64) / block_bytes).alias("k")), "crowd")
     counts = F.broadcast(blocks) if blocks.count() <= BROADCAST_ROWS else blocks
-    cells = ["x", "c", "away", "n", "hs", "bits"]
     placed = full.join(counts, "h").withColumn("block", F.pmod(F.xxhash64("x"), "k"))
     # A row goes once to each pair of blocks that it is in, on the left, on the right or on both sides.
     at, others = F.col("block"), F.filter(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda o: o != F.col("block"))
@@ -378,11 +393,12 @@ def crowded(run: DataFrame, heads: DataFrame, docs: DataFrame, words: int, perce
     row = F.struct(*cells, F.col("m.left").alias("left"), F.col("m.right").alias("right")).alias("row")
     pairs = placed.withColumn("m", F.explode(meetings)).select("h", "m.bl", "m.br", row)
     # Dealt by pair of blocks, never by head alone, so that a large run is many tasks' work.
-    pairs = pairs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h", "bl", "br").groupBy("h", "bl", "br").agg(F.collect_list("row").alias("rows")).select("h", "rows")
+    pairs = pairs.repartition(int(full.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h", "bl", "br").groupBy("h", "bl", "br").agg(F.collect_list("row").alias("rows")).select("h", "rows")
+    kinds = {"x": np.int64, "c": np.int64, "n": np.int64, "away": bool, "me": np.int64, "ma": np.int64}
 
-    def columns(cell) -> dict:
-        got = {c: [r[c] for r in cell] for c in cells}
-        return got | {"x": np.array(got["x"], np.int64), "c": np.array(got["c"], np.int64), "n": np.array(got["n"], np.int64), "away": np.array(got["away"], bool)}
+    def columns(rows: list) -> dict:
+        got = {c: [r[c] for r in rows] for c in cells}
+        return got | {c: np.array(got[c], kinds[c]) for c in cells if c in kinds}
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -391,12 +407,54 @@ def crowded(run: DataFrame, heads: DataFrame, docs: DataFrame, words: int, perce
                 left = [r for r in got if r["left"]]
                 if not left:
                     continue
-                h, x = _tile(b.column(0)[k].as_py(), columns(left), columns([r for r in got if r["right"]]), percent)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(x)], ["h", "x"])
+                h, x = tile(b.column(0)[k].as_py(), columns(left), columns([r for r in got if r["right"]]), percent)
+                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.nulls(len(h), pa.int64()) if x is None else pa.array(x, pa.int64())], ["h", "x"])
         released()
 
     out = written(pairs.mapInArrow(meet, "h long, x long").distinct(), "crowd")
-    dropped(rows, full, blocks, ids)
+    dropped(blocks)
+    return out
+
+
+def crowded(run: DataFrame, heads: DataFrame, known: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(h, x): pairs within the runs of these heads that may link, from (h, x, ch, cx, me, ma), by blocks of sketches.
+
+    Every two members of different components of a run meet in one pair of blocks,
+    first with the sketches that are known. Where these leave too many pairs, the
+    head's members meet again, with long sketches (at least 16 cells a shingle) of
+    their texts; what leaves a task is what these do not tell apart.
+    """
+    rows = written(run.join(heads.select("h"), "h").select("h", "x", F.col("cx").alias("c"), (F.col("cx") != F.col("ch")).alias("away"), "me", "ma"), "crowd")
+    seen = rows.join(known.select(F.col("doc_id").alias("x"), "n", F.col("full").alias("bits")), "x")
+    seen = written(seen, "crowd")
+    first = _in_blocks(seen.where("n is not null"), ["x", "c", "away", "me", "ma", "n", "bits"], _looked, percent, BLOCK_BYTES // 4)
+    # Ids whose rows differ have no known sketch: their heads' members go by texts.
+    again = written(first.where("x is null").select("h").union(seen.where("n is null").select("h")).distinct(), "crowd")
+    out = first.where("x is not null")
+    if not again.isEmpty():
+        out = out.union(_by_texts(rows.join(again, "h", "left_semi"), docs, words, percent)).distinct()
+    dropped(seen, again)
+    return out
+
+
+def _by_texts(rows: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(h, x): pairs of (h, x, c, away) that long sketches of their texts do not tell apart."""
+    lists = rows.groupBy("x").agg(F.collect_set("h").alias("hs"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
+        for b in batches:
+            got = [shingler(t.as_py()) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(h) for h in got], pa.int64()), pa.array([sketch(h, 4, 8 * FULL).tobytes() for h in got], pa.binary())], ["x", "n", "bits"])
+        released()
+
+    ids = written(rows.select("x").distinct(), "crowd")
+    some = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    bits = docs.select(F.col("doc_id").alias("x"), "text").where("text is not null").join(some, "x", "left_semi").mapInArrow(work, "x long, n long, bits binary").where("n > 0")
+    bits = bits.groupBy("x").agg(F.collect_set(F.struct("n", "bits")).alias("b")).select("x", F.explode("b").alias("b")).select("x", "b.n", "b.bits")
+    full = written(rows.select("h", "x", "c", "away").join(lists, "x").join(bits, "x"), "crowd")
+    out = _in_blocks(full, ["x", "c", "away", "n", "hs", "bits"], _tile, percent, BLOCK_BYTES)
+    dropped(full, ids)
     return out
 
 
@@ -457,6 +515,17 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
+def _one_a_class(docs: DataFrame, of: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id stands for a class of (doc_id, n, rep): every class's text is there under its representative's id."""
+    ids = of.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.coalesce(F.col("rep") == F.col("doc_id"), F.lit(False))).alias("first"))
+    ids = written(ids, "firsts")
+    some = docs.select("doc_id", "text").where("doc_id is not null")
+    firsts, others = ids.where("first").select("doc_id"), ids.where("not first").select("doc_id")
+    if others.count() <= BROADCAST_IDS:
+        return some.join(F.broadcast(others), "doc_id", "left_anti")
+    return some.join(F.broadcast(firsts) if firsts.count() <= BROADCAST_IDS else firsts, "doc_id", "left_semi")
+
+
 def join_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
     whole = written(sets(docs, words), "sets")
@@ -469,10 +538,7 @@ def join_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     known = written(known, "known")
     of = written(whole.join(reps, ["d1", "d2"], "left").select("doc_id", "n", "rep"), "classes")
     dropped(whole, reps)
-    rep_of = of.where("rep is not null").select("doc_id", "rep").distinct()
-    raw = candidates(docs, words, percent)
-    raw = raw.join(rep_of.select(F.col("doc_id").alias("h"), F.col("rep").alias("rh")), "h").join(rep_of.select(F.col("doc_id").alias("x"), F.col("rep").alias("rx")), "x")
-    sized = _marked(raw.where("rh <> rx").select(F.col("rh").alias("h"), F.col("rx").alias("x"), "me", "ma"))
+    sized = candidates(_one_a_class(docs, of), words, percent)
     about = lambda k: known.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), *[F.col(c).alias(f"{k}{c}") for c in _SK])
 
     def may_link(a: str, b: str):
@@ -490,7 +556,7 @@ def join_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     label = lambda k: F.coalesce(F.col(k), F.col(k[1:]))
     named = lambda k: comp.select(F.col("id").alias(k), F.col("component").alias(f"c{k}"))
     own = ["nx", *[f"x{c}" for c in _SK]]
-    run = found.join(named("h"), "h", "left").join(named("x"), "x", "left").select("h", "x", *own, "me", "ma", label("ch").alias("ch"), label("cx").alias("cx"))
+    run = found.where("ma <> 0").join(named("h"), "h", "left").join(named("x"), "x", "left").select("h", "x", *own, "me", "ma", label("ch").alias("ch"), label("cx").alias("cx"))
     run = written(run, "runs")
     apart = written(run.groupBy("h").agg(F.count_if(F.col("ch") != F.col("cx")).alias("n")).where("n > 0"), "apart")
     rest = run.join(apart.where(F.col("n") <= FEW), "h", "left_semi").where("ch <> cx").select("h", "x", *own, "cx", "me", "ma")
@@ -503,7 +569,7 @@ def join_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     more = likely(more.join(one_way, ["h", "x"], "left_anti"), known, percent)
     crowds = apart.where(F.col("n") > FEW)
     if not crowds.isEmpty():
-        more = more.unionByName(crowded(run, crowds, docs, words, percent).join(one_way, ["h", "x"], "left_anti")).distinct()
+        more = more.unionByName(crowded(run, crowds, known, docs, words, percent).join(one_way, ["h", "x"], "left_anti")).distinct()
     more = written(more, "more")
     dropped(found, run, apart)
     if not more.isEmpty():

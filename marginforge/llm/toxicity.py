@@ -43,15 +43,16 @@ def nnpu(pos: list[np.ndarray], unl: list[np.ndarray], size: int, prior: float,
     enter at the start are left out. Steps are scaled by the features' curvature;
     ``overlap`` is how many active ones a text may have before steps shrink.
     """
-    (pi, pp), (ui, up) = _csr(pos), _csr(unl)
-    df_p, df_u = np.bincount(pi, minlength=size) / max(len(pos), 1), np.bincount(ui, minlength=size) / max(len(unl), 1)
+    # Some rows at a time: the whole samples' indexes would be held several times over.
+    seen = lambda rows: sum((np.bincount(_csr(rows[k : k + 256])[0], minlength=size) for k in range(0, len(rows), 256)), np.zeros(size, np.int64))
+    df_p, df_u = seen(pos) / max(len(pos), 1), seen(unl) / max(len(unl), 1)
     base = np.maximum((df_p * len(pos) + df_u * len(unl)) / (len(pos) + len(unl)), 1.0 / (len(pos) + len(unl)))
     penalty = kappa * prior * np.sqrt(base / max(len(pos), 1))
     used = np.flatnonzero((prior * np.abs(df_p - df_u) > penalty) & (df_p * len(pos) >= 2))
     place = np.full(size, -1)
     place[used] = np.arange(len(used))
-    small = lambda i, ptr: (place[i][place[i] >= 0], np.append(0, np.cumsum(place[i] >= 0))[ptr])
-    (pi, pp), (ui, up) = small(pi, pp), small(ui, up)
+    small = lambda rows: _csr([at[at >= 0] for at in (place[r] for r in rows)])
+    (pi, pp), (ui, up) = small(pos), small(unl)
     n_p, n_u = np.diff(pp), np.diff(up)
     lam, step = penalty[used] * shrink, 1.0 / (overlap * 0.25 * np.maximum(df_u[used], 1e-4))
     w, bias = np.zeros(len(used)), np.log(prior / (1 - prior))

@@ -460,6 +460,37 @@ def test_crowded_pairs_grow_with_the_runs(spark, monkeypatch):
     assert 0 < total[1] < 3.2 * total[0]
 
 
+def test_known_sketches_settle_crowds_of_unlike_texts(spark, monkeypatch):
+    """Members of a run that are far from each other need no long sketches of their texts."""
+    read = []
+    real = jaccard._by_texts
+    monkeypatch.setattr(jaccard, "_by_texts", lambda *a: read.append(1) or real(*a))
+    monkeypatch.setattr(jaccard, "FEW", 8)
+    rows = [(k, " ".join(["w1", "w2", "w3"] + [f"x{k}y{j}" for j in range(17)]), "s") for k in range(60)]
+    got = jaccard.join_documents(documents(spark, rows), 1, 60).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(k, k) for k in range(60)} and not read
+
+
+def test_runs_of_two_hold_no_other_pair(spark):
+    """A head with many partners of different runs is no crowd: their marks are empty, so they meet nobody else."""
+    near = lambda k: " ".join([f"w{j}" for j in range(400)] + [f"x{k}"])
+    two, three = documents(spark, [(k, near(k), "s") for k in (1, 2)]), documents(spark, [(k, near(k), "s") for k in (1, 2, 3)])
+    runs = lambda d: {(r.h, r.x): r.ma.bit_count() for r in jaccard.candidates(d, 1, 90).collect()}
+    assert runs(two)[1, 2] <= 4  # of a task's last run it is not known whether it goes on
+    assert runs(three)[1, 2] > 8 and runs(three)[1, 3] > 8
+
+
+def test_one_row_a_class_has_signatures(spark, monkeypatch):
+    given, real = [], jaccard.candidates
+    monkeypatch.setattr(jaccard, "candidates", lambda docs, words, percent: given.append([r.doc_id for r in docs.collect()]) or real(docs, words, percent))
+    rows = [(k, "a b c d" if k % 2 else "e f g h", "s") for k in range(10)] + [(3, "i j k l", "s"), (None, "a b c d", "s")]
+    for most in (jaccard.BROADCAST_IDS, 0):
+        monkeypatch.setattr(jaccard, "BROADCAST_IDS", most)
+        got = jaccard.join_documents(documents(spark, rows), 3, 90).collect()
+        assert {(r.doc_id, r.component_id) for r in got} >= {(k, k % 2) for k in range(10)} | {(3, 3)}
+    assert all(set(g) == {0, 1, 3} for g in given) and len(given) == 2
+
+
 def test_jaccard_empty_and_keep_one(spark):
     rows = awkward()
     assert jaccard.join_documents(documents(spark, rows).limit(0), 3, 90).count() == 0
