@@ -217,6 +217,20 @@ def test_folds_of_a_large_problem_are_tasks_of_their_own(spark, monkeypatch):
     pd.testing.assert_frame_equal(whole, apart)
 
 
+def test_cascade_calibrates_a_large_top_node_once_by_folds(spark, monkeypatch):
+    x, y = gauss()
+    rows = spark.createDataFrame([(k, v.tolist(), int(t)) for k, (v, t) in enumerate(zip(x, y))], "id long, features array<double>, label int")
+    made, real = [], cascade.calibration
+    monkeypatch.setattr(cascade, "calibration", lambda *a: made.append(real(*a)) or made[-1])
+    p = cascade.CascadeParameter(subsets=2, passes=2, gamma=0.3, epsilon=0.0, probability=True)
+    whole = cascade.fit(rows, p)
+    assert not made
+    monkeypatch.setattr(smo, "FULL", 20)
+    apart = cascade.fit(rows, p)
+    assert made == [(apart.prob_a, apart.prob_b)]
+    assert (apart.prob_a, apart.prob_b) == pytest.approx((whole.prob_a, whole.prob_b))
+
+
 def test_cascade_of_large_nodes(spark, many):
     model = cascade.fit(many, cascade.CascadeParameter(subsets=1, passes=1, gamma=0.01, probability=True))
     node = model.nodes[0]
