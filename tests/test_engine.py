@@ -71,6 +71,36 @@ def test_dense_pairs_are_never_shuffled(spark):
     assert {(r.i, r.j) for r in kernel_join.projected(d, ids, "rbf").collect()} == {(i, j) for i in range(0, 90, 3) for j in range(0, 90, 3)}
 
 
+def test_pairs_of_rows_with_themselves_are_computed_once_and_written_in_half(spark, tmp_path):
+    x = np.random.default_rng(2).normal(size=(2_600, 6)) / 2.5
+    names = [min(i, 2_597) for i in range(2_600)]  # three rows share the last id
+    d = spark.createDataFrame([(i, r.tolist()) for i, r in zip(names, x)], "id long, features array<double>")
+    kernel_join.dense_kernel(d, d, "rbf", kernels.rounded).write.parquet(str(tmp_path / "k"))
+    assert sum(p.stat().st_size for p in (tmp_path / "k").glob("*.parquet")) < 6.5 * 2_600**2
+    got, whole = np.zeros((2_598, 2_598)), kernels.rounded(kernels.DENSE["rbf"](x, x))
+    pairs = pd.read_parquet(tmp_path / "k")
+    assert len(pairs) == 2_600**2 and len(pairs.drop_duplicates(["i", "j"])) == 2_598**2
+    got[pairs["i"], pairs["j"]] = pairs["k"]
+    assert np.abs(got - whole[:2_598, :2_598])[:2_597, :2_597].max() < 2e-6 and len(pairs[pairs["i"] == 2_597]) == 3 * 2_600
+    both = kernel_join.dense_kernel(d, d, "linear", squares=True).where("i < 2597 and j < 2597 and (i % 97 = 0 or j % 89 = 0)").toPandas()
+    i, j, q = both["i"], both["j"], (x * x).sum(1)
+    assert np.abs(both["k"] - (x[i] * x[j]).sum(1)).max() < 1e-12 and np.abs(both["qa"] - q[i]).max() < 1e-12 and np.abs(both["qb"] - q[j]).max() < 1e-12
+
+
+def test_kernels_that_are_not_symmetric_meet_in_both_orders(spark):
+    kernels.dense_kernel("first_test", lambda a, b: a[:, :1] + 2 * b[:, 0])
+    d = spark.createDataFrame([(i, [float(i)]) for i in range(1_100)], "id long, features array<double>")
+    k = kernel_join.dense_kernel(d, d, "first_test")
+    assert k.count() == 1_100**2 and k.where("k <> i + 2 * j").isEmpty()
+
+
+def test_rounding_of_tiles():
+    k = np.array([0.5e-6, -0.5e-6, 1.4999e-6, -2e-7, -1.0, 3.25, 1e300, 5e303, np.nan, np.inf])
+    got = kernels.rounded(k)
+    assert got[:-2].tolist() == [1e-6, -1e-6, 1e-6, 0.0, -1.0, 3.25, 1e300, 5e303] and np.isnan(got[-2]) and got[-1] == np.inf
+    assert np.signbit(got[3]) == False and kernels.rounded(np.array([2.0**52 + 1]), 0)[0] == 2.0**52 + 1  # noqa: E712
+
+
 def test_kernel_rows_of_many_blocks_and_shared_ids(spark, monkeypatch):
     x = np.random.default_rng(1).random((1100, 3))
     names = [min(i, 1097) for i in range(1100)]  # three rows share the last id
