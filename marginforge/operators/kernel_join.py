@@ -78,14 +78,18 @@ def fused_sparse(modalities: list[tuple[DataFrame, DataFrame]], a_ids: DataFrame
 
 #: Blocks in a partition of one side of a product, about.
 PART_BLOCKS = 64
+#: Rows of a block of either side that only sums come out of, and bytes of pairs of such blocks that a task gets, about: they
+#: cross to its worker in Arrow buffers, which the JVM holds outside its heap, grows by doubling, and has one set of a task.
+SUM_ROWS, PAIR_BYTES = (1024, 2048), 16 << 20
 #: Bytes of whole kernel rows that a task gathers before they go out.
 ROW_BYTES = 64 << 20
 
 
-def blocks(dense: DataFrame, rows: int = 512, n: int | None = None) -> DataFrame:
-    """(block, ids, x): rows of (id, features) packed by hash into blocks of about ``rows``, in ``n`` blocks if that is known."""
+def blocks(dense: DataFrame, rows: int = 512, n: int | None = None, parts: int | None = None) -> DataFrame:
+    """(block, ids, x): rows of (id, features) packed by hash into blocks of about ``rows``, in ``n`` blocks if that is known, in just ``parts`` partitions if given."""
     n = n or max(1, -(-dense.count() // rows))
-    packed = dense.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block"))
+    named = dense.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)))
+    packed = (named.repartition(parts, "block") if parts else named).groupBy("block")
     return packed.agg(F.sort_array(F.collect_list(F.struct("id", "features"))).alias("r")).select("block", F.col("r.id").alias("ids"), F.col("r.features").alias("x"))
 
 
@@ -120,9 +124,18 @@ def tiles(a: DataFrame, b: DataFrame, work: Callable[..., pd.DataFrame], schema:
     return pairs.select("block", "block_b", "ids", "x", "ids_b", "x_b").mapInPandas(run, schema)
 
 
-def tile_sums(a: DataFrame, b: DataFrame, work: Callable[[np.ndarray, np.ndarray], np.ndarray], rows: int = 512) -> DataFrame:
-    """(id, s): sums over b's blocks of ``work(A, B)``, a row for each of A's; a task adds up all that its blocks meet before rows go out."""
-    pairs = _met(a, b, rows, rows)
+def tile_sums(a: DataFrame, b: DataFrame, work: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(id, s): sums over b's blocks of ``work(A, B)``, a row for each of A's; a task adds up all that its blocks meet before rows go out.
+
+    About one block of a meets so many of b in a task as PAIR_BYTES hold.
+    """
+    (n, w), (m, v) = (d.agg(F.count("*"), F.coalesce(F.max(F.size("features")), F.lit(0))).head() for d in (a, b))
+    least = int(np.ceil(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
+    rows = min(SUM_ROWS[0], max(1, -(-n // least)))
+    na, nb = max(1, -(-n // rows)), max(1, -(-m // SUM_ROWS[1]))
+    few = max(1, PAIR_BYTES // (8 * (rows * w + min(m, SUM_ROWS[1]) * v + 1)))
+    right = blocks(b, n=nb, parts=-(-nb // few)).select(F.col("ids").alias("ids_b"), F.col("x").alias("x_b"))
+    pairs = blocks(a, n=na, parts=na).crossJoin(right.hint("shuffle_replicate_nl"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, list] = {}

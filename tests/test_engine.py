@@ -94,6 +94,19 @@ def test_kernels_that_are_not_symmetric_meet_in_both_orders(spark):
     assert k.count() == 1_100**2 and k.where("k <> i + 2 * j").isEmpty()
 
 
+def test_sums_of_tiles_give_a_task_few_pairs_of_blocks(spark, monkeypatch):
+    x = np.random.default_rng(4).normal(size=(6_000, 64)) / 8
+    d = spark.createDataFrame(pd.DataFrame({"id": np.arange(6_000), "features": list(x.tolist())}), "id long, features array<double>").persist()
+    monkeypatch.setattr(kernel_join, "PAIR_BYTES", 4 << 20, raising=False)
+    sums = kernel_join.tile_sums(d, d, lambda a, b: a @ b.sum(0)[:, None])
+    assert sums.rdd.getNumPartitions() >= 12  # 4 before: each sent a quarter of all pairs of blocks through one worker's buffers
+    got = sums.select("id", F.col("s")[0].alias("s")).groupBy("id").agg(F.sum("s").alias("s")).orderBy("id").toPandas()
+    assert len(got) == 6_000 and np.abs(got["s"] - x @ x.sum(0)).max() < 1e-9
+    none = kernel_join.tile_sums(d, d.where("id < 0"), lambda a, b: a @ b.T)
+    assert none.isEmpty()
+    d.unpersist()
+
+
 def test_rounding_of_tiles():
     k = np.array([0.5e-6, -0.5e-6, 1.4999e-6, -2e-7, -1.0, 3.25, 1e300, 5e303, np.nan, np.inf])
     got = kernels.rounded(k)
