@@ -58,7 +58,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op9_chat_format"] = chat.ORACLE
 
-URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/")]
+URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 
 @query

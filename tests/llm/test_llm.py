@@ -659,6 +659,19 @@ def test_url_query_equals_brute_force(spark):
     assert {v for *_, r, v in got if r == "None"} == {"allow", "block"}
 
 
+def test_url_query_rules_are_the_contracts(spark, tmp_path):
+    """Each rule's word as the contract lists it, through the registered query; nothing here is read off its rules."""
+    said = {
+        "http://a.com/en/1": ("com/en/", "block"), "http://example.com/en/71": ("example.com/en/7", "allow"), "http://example.com/en/6": ("com/en/", "block"),
+        "http://a.net/de/8": ("net/de/", "allow"), "http://b.example.net/de/7": ("net/de/", "allow"), "http://b.example.net/de/81": ("example.net/de/8", "block"),
+        "http://example.net/de/8": ("example.net/de/8", "block"), "http://a.org/es/": ("org/es/", "block"),
+    }
+    pages = spark.createDataFrame([(k, u, None) for k, u in enumerate(said)], "page_id long, url string, html string")
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    got = queries.QUERIES["op10_url_filter"](spark, str(tmp_path)).collect()
+    assert {r.page_id: (r.rule, r.verdict) for r in got} == dict(enumerate(said.values()))
+
+
 # -- queries and pipeline ---------------------------------------------------------------------------
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_sql(spark, same, sf, name):
