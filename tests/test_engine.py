@@ -769,3 +769,52 @@ def test_ensemble_tables(spark, tmp_path):
     tables.write_ids(p.select("id"), str(tmp_path / "i"), text=True)
     assert [r.id for r in formats.read_ids(spark, str(tmp_path / "i")).collect()] == [1, 2]
     assert [r.id for r in tables.first_rows(p, "id", 1, 1).collect()] == [2]
+
+
+def test_large_machines_start_from_like_ones():
+    """Multipliers of a like problem, out of balance and out of the box, save rounds and lead to the same minimum, whatever the precision of the sums on the way."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2600, 16)).astype(np.float32).astype(np.float64)
+    x /= 4
+    x = x.astype(np.float32).astype(np.float64)
+    y = np.where(x[:, 0] + 0.3 * rng.normal(size=len(x)) > 0.2, 1.0, -1.0)
+    K = smo.gram(kernels.standard("rbf", 0.5), x)
+    assert K.single is not None and len(x) > smo.FULL
+    cold = smo.c_svc(K, y, 1.0, 1e-4)
+    warm = smo.c_svc(K, y, 1.0, 1e-4, np.where(y > 0, 0.4, 3.0) * cold.alpha)
+    full = kernels.standard("rbf", 0.5)(x, x)
+    for s in (cold, warm):
+        g = y * (full @ (s.alpha * y)) - 1  # by hand, in double precision
+        v, a = -y * g, s.alpha
+        gap = v[np.where(y > 0, a < 1, a > 0)].max() - v[np.where(y > 0, a > 0, a < 1)].min()
+        assert gap < 1e-4 + 1e-9 and abs(gap - s.gap) < 1e-9 and abs(s.alpha @ y) < 1e-6 and a.min() >= 0 and a.max() <= 1
+    assert warm.rounds < cold.rounds and abs(warm.objective - cold.objective) < 1e-3
+    again = smo.c_svc(K, y, 1.0, 1e-4, cold.alpha)
+    assert again.rounds <= cold.rounds / 20
+    # Rows that single precision cannot hold, or too long for it, keep to double.
+    assert smo.Gram(kernels.standard("rbf", 0.5), x + 1e-9).single is None and smo.Gram(kernels.standard("rbf", 0.5), x * 64).single is None
+
+
+def test_single_sums_of_kernel_values():
+    x = np.random.default_rng(1).normal(size=(700, 8)).astype(np.float32).astype(np.float64) / 4
+    v, cols, rows = np.linspace(-1, 1, 60), np.arange(0, 1200, 20), np.arange(5, 1400, 7)
+    K = smo.Gram(kernels.standard("rbf", 0.7), x, 2)
+    want = np.tile(kernels.standard("rbf", 0.7)(x, x), (2, 2))
+    K.exact = False
+    assert np.abs(K.times(cols, v) - want[:, cols] @ v).max() < 1e-5
+    assert np.abs(K.times(cols, v, rows) - want[np.ix_(rows, cols)] @ v).max() < 1e-5
+
+
+def test_large_nodes_start_from_the_layer_before(spark):
+    """A large node that gets its own multipliers back is at its minimum at once, with the same support vectors and values."""
+    rng = np.random.default_rng(2)
+    x = (rng.normal(size=(2500, 8)) / 4).astype(np.float32).astype(float)
+    y = np.where(x[:, 0] + 0.2 * rng.normal(size=len(x)) > 0, 1, -1)
+    rows = spark.createDataFrame([(k, r.tolist(), int(c)) for k, (r, c) in enumerate(zip(x, y))], "id long, features array<double>, label int")
+    p = cascade.CascadeParameter(subsets=1, gamma=1.0)
+    members = rows.select(F.lit(0).alias("node"), "id")
+    first = cascade.train_layer(members, rows, p, 1, 0).toPandas()
+    start = spark.createDataFrame(first[["id", "coef"]])
+    second = cascade.train_layer(members, rows, p, 2, 0, start=start).toPandas()
+    one, two = (d.set_index("id").sort_index() for d in (first, second))
+    assert one.index.equals(two.index) and np.abs(one["coef"] - two["coef"]).max() < 1e-3 and abs(one["ld"].iloc[0] - two["ld"].iloc[0]) < 1e-3 and two["gap"].max() < 1e-3
