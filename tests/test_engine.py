@@ -818,3 +818,14 @@ def test_large_nodes_start_from_the_layer_before(spark):
     second = cascade.train_layer(members, rows, p, 2, 0, start=start).toPandas()
     one, two = (d.set_index("id").sort_index() for d in (first, second))
     assert one.index.equals(two.index) and np.abs(one["coef"] - two["coef"]).max() < 1e-3 and abs(one["ld"].iloc[0] - two["ld"].iloc[0]) < 1e-3 and two["gap"].max() < 1e-3
+
+
+def test_folds_start_from_the_whole_node():
+    """Held-out decisions of a large node are the same from its own multipliers as from nothing."""
+    rng = np.random.default_rng(7)
+    x = (rng.normal(size=(2800, 8)) / 4).astype(np.float32).astype(float)
+    y = np.where(x[:, 0] + 0.2 * rng.normal(size=len(x)) > 0, 1.0, -1.0)
+    K, part = smo.gram(kernels.standard("rbf", 0.5), x), smo.parts(len(x))[1]
+    whole = smo.c_svc(K, y, 1.0, 1e-5)
+    cold, warm = smo.held_decisions(K, y, 1.0, part, 1e-5), smo.held_decisions(K, y, 1.0, part, 1e-5, whole.alpha)
+    assert np.abs(cold - warm).max() < 1e-3
